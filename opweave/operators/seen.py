@@ -1,0 +1,157 @@
+"""Has this key been seen before?  Quotient filters over billions of earlier keys, in shards."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import quotient
+
+LOAD = 0.75
+KEYS_PER_SHARD = 200_000
+REMAINDER_BITS = 24
+FILTER_SCHEMA = "shard int, payload binary"
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """How 64-bit key hashes are cut: ``s`` bits of shard, ``q`` of quotient, ``r`` of remainder."""
+
+    s: int
+    q: int
+    r: int
+
+    @classmethod
+    def for_keys(cls, n: int, r: int = REMAINDER_BITS, keys_per_shard: int = KEYS_PER_SHARD) -> Geometry:
+        s = max(4, math.ceil(math.log2(max(1, n / keys_per_shard))))
+        q = max(4, math.ceil(math.log2(max(1, n) / LOAD / 2**s)))
+        return cls(s, q, min(r, 62 - s - q))
+
+    @property
+    def shards(self) -> int:
+        return 1 << self.s
+
+    def false_rate(self, n: float) -> float:
+        """The chance that a new key has the fingerprint of one of ``n`` others."""
+        return -math.expm1(-n / 2.0 ** (self.s + self.q + self.r))
+
+
+def fingerprints(df: DataFrame, key: str, g: Geometry) -> DataFrame:
+    """Adds ``shard`` and ``fp``.  The hash is over the whole key, so keys that differ in a character don't lie together."""
+    h = F.xxhash64(key)
+    keep = g.q + g.r
+    fp = F.shiftrightunsigned(h, 64 - g.s - keep).bitwiseAND(F.lit((1 << keep) - 1))
+    return df.withColumns({"shard": F.shiftrightunsigned(h, 64 - g.s).cast("int"), "fp": fp})
+
+
+def build_filters(keys: DataFrame, key: str, g: Geometry) -> DataFrame:
+    """One filter for each shard that has keys.  Null keys are left out; repeats cost nothing.
+
+    Only distinct 8-byte fingerprints are shuffled, and a shard holds about ``KEYS_PER_SHARD`` of
+    them, whatever the number of keys.
+    """
+    q, r = g.q, g.r
+    fps = fingerprints(keys.select(F.col(key).alias("k")).where(F.col("k").isNotNull()), "k", g)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "payload": [quotient.encode(pdf["fp"].to_numpy(), q, r)]})
+
+    return fps.select("shard", "fp").distinct().groupBy("shard").applyInPandas(pack, FILTER_SCHEMA)
+
+
+def merge_filters(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The filters of both sides' keys, shard by shard."""
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        both = [*x.itertuples(index=False), *y.itertuples(index=False)]
+        payload = both[0].payload
+        for other in both[1:]:
+            payload = quotient.merge(payload, other.payload)
+        return pd.DataFrame({"shard": [both[0].shard], "payload": [payload]})
+
+    return a.groupBy("shard").cogroup(b.groupBy("shard")).applyInPandas(pair, FILTER_SCHEMA)
+
+
+def filter_stats(filters: DataFrame) -> DataFrame:
+    """``shard``, ``n_keys`` (distinct fingerprints) and ``n_bytes`` of each filter."""
+
+    def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(
+                {"shard": b["shard"], "n_keys": [quotient.size(p) for p in b["payload"]], "n_bytes": [len(p) for p in b["payload"]]}
+            )
+
+    return filters.mapInPandas(stats, "shard int, n_keys bigint, n_bytes bigint")
+
+
+def probe_filters(filters: DataFrame, fps: DataFrame, carry: str) -> DataFrame:
+    """``fps`` (``shard``, ``fp`` and the columns of the schema ``carry``) with ``hit``."""
+    names = [x.split()[0] for x in carry.split(", ")]
+
+    def look(f: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(x), dtype=bool)
+        if len(f) and len(x):
+            hit = quotient.probe(f["payload"].iloc[0], x["fp"].to_numpy())
+        return x[names].assign(hit=hit)
+
+    return filters.groupBy("shard").cogroup(fps.groupBy("shard")).applyInPandas(look, f"{carry}, hit boolean")
+
+
+class SeenBefore:
+    """Decides for each record whether its key is among ``earlier`` keys or on an earlier record.
+
+    ``records`` have a unique ``id`` in order of arrival.  Keys are compared as given; a null key
+    was never seen.  Keys that agree in a fingerprint meet in one row (``fp`` with the least id)
+    before they are shuffled, so a key on a third of all records is no hot spot.
+
+    * ``candidates``: what the filter takes for seen.  It never misses a seen key.
+    * ``wrong``: those of them that are the first record of their key (false positives), by an exact
+      comparison of the candidates' keys alone.
+    * ``found``: the candidates without the wrong ones.
+    """
+
+    def __init__(self, records: DataFrame, earlier: DataFrame, id: str, key: str, r: int = REMAINDER_BITS):
+        self.records = records.select(F.col(id).alias("id"), F.col(key).alias("key")).where(F.col("key").isNotNull())
+        self.earlier = earlier.select(F.col(key).alias("key")).where(F.col("key").isNotNull())
+        self.id = id
+        self.n_earlier, self.n_records = earlier.count(), records.count()
+        self.geometry = g = Geometry.for_keys(self.n_earlier + self.n_records, r)
+        first = (
+            fingerprints(self.records, "key", g)
+            .groupBy("shard", "fp")
+            .agg(F.min("id").alias("id"), F.min_by("key", "id").alias("key"))
+        )
+        probed = probe_filters(build_filters(self.earlier, "key", g), first, "id bigint, key string")
+        self.new = probed.where(~F.col("hit")).select("id", "key")
+
+    def candidates(self) -> DataFrame:
+        return self.records.join(self.new.select("id"), "id", "left_anti")
+
+    def wrong(self) -> DataFrame:
+        known = self.earlier.unionByName(self.new.select("key")).distinct()
+        first = self.candidates().groupBy("key").agg(F.min("id").alias("id"))
+        return first.join(known, "key", "left_anti").select("id")
+
+    def found(self) -> DataFrame:
+        return self.candidates().join(self.wrong(), "id", "left_anti").select(F.col("id").alias(self.id))
+
+    def errors(self) -> DataFrame:
+        """One row: how many records the filter called seen, how many wrongly, the rate of that among new keys, and the rate that the geometry lets expect."""
+        g = self.geometry
+        n_new = self.new.agg(F.count("id").alias("n_new")).scalar()
+        n_wrong = self.wrong().agg(F.count("id").alias("n_wrong")).scalar()
+        return self.candidates().agg(F.count("id").alias("n_candidates")).select(
+            F.lit(self.n_earlier).cast("bigint").alias("n_earlier"),
+            F.lit(self.n_records).cast("bigint").alias("n_records"),
+            "n_candidates",
+            n_wrong.alias("n_wrong"),
+            (n_wrong / F.greatest(n_wrong + n_new, F.lit(1))).alias("measured_rate"),
+            F.lit(g.false_rate(self.n_earlier + self.n_records / 2)).alias("derived_rate"),
+            F.lit(g.r).alias("remainder_bits"),
+        )
