@@ -77,6 +77,8 @@ def _close_block(pdf: pd.DataFrame, ext: pd.DataFrame | None, mode: str) -> pd.D
     child, parent = child[parent >= 0], parent[parent >= 0]
     if mode == "any":
         flag = graphs.reached(n, child, parent, pdf["seed"].to_numpy(bool) | outside)
+    elif mode == "up":
+        flag = graphs.reached(n, parent, child, pdf["seed"].to_numpy(bool))
     else:
         flag = graphs.grounded(n, child, parent, outside)
     return pd.DataFrame({"g": g, "id": ids, "flag": flag})
@@ -86,9 +88,10 @@ def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_N
     """``g``, ``id``, ``flag`` of every node; parents that aren't nodes of the group are ignored.
 
     ``nodes``: ``g`` string, ``ord`` bigint, ``id`` string (unique in ``g``), ``parents`` array<string>,
-    and ``seed`` boolean for mode ``any``.
+    and ``seed`` boolean for the modes ``any`` and ``up``.
 
     * ``any``: a node is flagged if it is a seed or a parent is flagged.
+    * ``up``: a node is flagged if it is a seed or a child is flagged (seeds and their ancestors).
     * ``all``: a node is flagged if all its parents are; what stays without a flag lies on a cycle or
       below one.
 
@@ -103,11 +106,13 @@ def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_N
     def with_ext(pdf: pd.DataFrame, ext: pd.DataFrame) -> pd.DataFrame:
         return _close_block(pdf, ext, mode)
 
-    used = ["g", "id", "parents", *(["seed"] if mode == "any" else []), "blk"]
+    used = ["g", "id", "parents", *([] if mode == "all" else ["seed"]), "blk"]
     out = whole.select(*used).repartition(n_blocks, "blk").groupBy("blk").applyInPandas(alone, _FLAGS)
     if parts is None:
         return out
     parts = cut(parts.select(*used))
+    if mode == "up":
+        return out.unionByName(_climb(parts, alone))
     ext = cut(crossing(parts))
     waits = ext.select("g", "id").distinct()
     facts, known = waits.limit(0), 0
@@ -120,6 +125,22 @@ def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_N
         known = now
 
 
+def _climb(parts: DataFrame, alone) -> DataFrame:
+    """Mode ``up`` over cut groups: parents in other blocks become seeds of the next pass."""
+    home = parts.select("g", "id", F.col("blk").alias("home"))
+    links = parts.select("g", "blk", F.col("id").alias("child"), F.explode("parents").alias("id"))
+    across = cut(links.join(home, ["g", "id"]).where(F.col("home") != F.col("blk")).select("g", "child", "id"))
+    told, known = across.select("g", "id").limit(0), 0
+    while True:
+        seeded = parts.join(told.withColumn("_t", F.lit(True)), ["g", "id"], "left").withColumn("seed", F.col("seed") | F.col("_t").isNotNull())
+        step = seeded.drop("_t").groupBy("blk").applyInPandas(alone, _FLAGS)
+        up = step.where("flag").select("g", F.col("id").alias("child"))
+        told = cut(across.join(up, ["g", "child"], "left_semi").select("g", "id").distinct())
+        if (now := told.count()) == known:
+            return step
+        known = now
+
+
 _LINKS = "g string, blk_no int, id string, parent string, root string, depth bigint, endless boolean"
 
 
@@ -189,17 +210,20 @@ def contract(links: DataFrame, n_blocks: int, with_path: bool, level: int = 0) -
     )
 
 
-def forest(nodes: DataFrame, sizing: DataFrame, with_path: bool = False, max_nodes: int = MAX_NODES) -> DataFrame:
+def forest(
+    nodes: DataFrame, sizing: DataFrame, with_path: bool = False, max_nodes: int = MAX_NODES, weight: str | None = None
+) -> DataFrame:
     """Roots, depths, cycles (and paths) of nodes with at most one parent.
 
     ``nodes``: ``g``, ``ord``, ``id`` (unique in ``g``), ``parent`` (null, or a parent's id that need not exist).
     Returns ``g``, ``id``, ``root``, ``depth``, ``endless`` as :func:`contract` has them, and with paths
-    ``node_no`` (numbered within ``g``) and ``path`` (the numbers from the root to the node).
+    ``node_no`` (numbered within ``g``) and ``path`` (the numbers from the root to the node).  ``weight``
+    names a column that counts for ``depth`` instead of 1 (not together with paths).
     """
     whole, parts, n_blocks = assign(nodes, sizing, max_nodes)
     first = {
         "root": F.col("id"),
-        "depth": F.lit(1).cast("bigint"),
+        "depth": (F.col(weight) if weight else F.lit(1)).cast("bigint"),
         "endless": F.lit(False),
     }
     cols = ["g", "blk", "blk_no", "id", "parent", *first]

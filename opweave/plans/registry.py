@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import logs
+from . import doclog, logs
 
-QUERIES = {**logs.QUERIES}
-ORACLES = {**logs.ORACLES}
+QUERIES = {**logs.QUERIES, **doclog.QUERIES}
+ORACLES = {**logs.ORACLES, **doclog.ORACLES}
