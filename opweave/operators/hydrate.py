@@ -1,78 +1,87 @@
-"""Documents as trees of values: JSON, from the leaves up."""
+"""Documents as trees of values: JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from ..sources.tables import ROOT, id_text
 from .state import MAKE_LIST, MAKE_MAP, MAKE_TABLE, MAKE_TEXT, winners
 
 _MAKES = (MAKE_MAP, MAKE_LIST, MAKE_TEXT, MAKE_TABLE)
 
 
-def _scalar_json(v: str, n: str):
-    """A scalar as JSON text: bytes as an array of numbers, counters and timestamps as numbers."""
-    c = F.col(v)
-    quoted = lambda s: F.regexp_extract(F.to_json(F.struct(s.alias("x"))), r"^\{\"x\":([\s\S]*)\}$", 1)
-    as_bytes = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.length(c["b"])), lambda i: F.conv(F.hex(F.substring(c["b"], i, F.lit(1))), 16, 10)), ","), F.lit("]"))
+def _json(c: Column) -> Column:
+    """A value as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":([\s\S]*)\}$", 1)
+
+
+def scalar_json(v: Column, n: Column) -> Column:
+    """A scalar as JSON: bytes as an array of numbers, counters and timestamps as numbers."""
+    byte = F.transform(F.sequence(F.lit(1), F.length(v["b"])), lambda i: F.conv(F.hex(F.substring(v["b"], i, F.lit(1))), 16, 10))
     return (
-        F.when(F.col(n).isNotNull(), F.col(n).cast("string"))
-        .when(c["tag"] == "str", quoted(c["s"]))
-        .when(c["tag"] == "bytes", F.when(F.length(c["b"]) > 0, as_bytes).otherwise(F.lit("[]")))
-        .when(c["tag"] == "bool", c["flag"].cast("string"))
-        .when(c["tag"] == "f64", quoted(c["d"]))
-        .when(c["tag"] == "uint", c["u"].cast("string"))
-        .when(c["tag"].isin("int", "timestamp"), c["i"].cast("string"))
+        F.when(n.isNotNull(), n.cast("string"))
+        .when(v["tag"] == "str", _json(v["s"]))
+        .when((v["tag"] == "bytes") & (F.length(v["b"]) > 0), F.concat(F.lit("["), F.array_join(byte, ","), F.lit("]")))
+        .when(v["tag"] == "bytes", F.lit("[]"))
+        .when(v["tag"] == "bool", v["flag"].cast("string"))
+        .when(v["tag"] == "f64", _json(v["d"]))
+        .when(v["tag"] == "uint", v["u"].cast("string"))
+        .when(v["tag"].isin("int", "timestamp"), v["i"].cast("string"))
         .otherwise(F.lit("null"))
     )
 
 
-def documents_json(visible: DataFrame, order: DataFrame, texts: DataFrame, max_depth: int = 128) -> DataFrame:
+def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The JSON of one document from its entries, without recursion."""
+    entries: dict[str, list] = {}
+    for r in pdf.sort_values(["pos", "label"], kind="stable").itertuples(index=False):
+        entries.setdefault(r.obj, []).append(r)
+    done: dict[str, str] = {}
+    open_: set[str] = set()
+    stack: list[tuple[str, int, str | None]] = [(ROOT, MAKE_MAP, None)]
+    while stack:
+        obj, action, text = stack[-1]
+        rows = entries.get(obj, ())
+        if obj not in open_:
+            open_.add(obj)
+            if action == MAKE_TEXT:
+                done[obj] = text or '""'
+                stack.pop()
+                continue
+            below = [(r.child, int(r.action), r.text) for r in rows if r.child is not None and r.child not in open_]
+            stack.extend(below)
+            if below:
+                continue
+        if obj not in done:
+            parts = []
+            for r in rows:
+                value = r.json if r.child is None else done.get(r.child)
+                if value is not None:
+                    parts.append(value if action == MAKE_LIST else f"{r.label}:{value}")
+            done[obj] = ("[%s]" if action == MAKE_LIST else "{%s}") % ",".join(parts)
+        stack.pop()
+    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "json": [done[ROOT]]})
+
+
+def documents_json(visible: DataFrame, order: DataFrame, texts: DataFrame) -> DataFrame:
     """``doc_id``, ``json`` of every document: maps as objects with sorted keys, lists as arrays, texts as strings.
 
-    Objects are put together level by level from the deepest up, one aggregation for each level; a
-    document's size bounds what one group holds.  Objects that hang on nothing or in a loop aren't
-    part of a document.  ``max_depth`` levels are followed.
+    Scalars, keys and texts are written as JSON by Spark; a document is put together in one task,
+    as its result is one value.  Objects that hang on nothing or in a loop aren't part of it.
     """
     w = winners(visible)
-    made = w.where(F.col("op_action").isin(*_MAKES))
-    links = cut(made.select("doc_id", "obj", F.col("op").alias("child"), "op_action"))
-    level = links.where(F.col("obj.ctr") == 0).select("doc_id", "child", "op_action", F.lit(1).alias("level"))
-    levels = [cut(level)]
-    while not levels[-1].isEmpty() and len(levels) < max_depth:
-        up = levels[-1].select("doc_id", F.col("child").alias("obj"))
-        levels.append(cut(links.join(up, ["doc_id", "obj"], "left_semi").select("doc_id", "child", "op_action", F.lit(len(levels) + 1).alias("level"))))
-    scalar = F.when(~F.col("op_action").isin(*_MAKES), _scalar_json("val", "n"))
-    entries = cut(
-        w.join(order, ["doc_id", "obj", "elem"], "left").select(
-            "doc_id", "obj", "reg", "op", F.col("elem").isNotNull().alias("seq"), "pos", scalar.alias("json")
-        )
-    )
-    text_json = texts.select("doc_id", F.col("obj_id"), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r"^\{\"x\":([\s\S]*)\}$", 1).alias("text_json"))
-    done = None
-    for lv in [*reversed(levels), None]:
-        if lv is not None and lv is levels[-1] and lv.isEmpty():
-            continue
-        objs = (
-            lv.select("doc_id", F.col("child").alias("obj"), "op_action") if lv is not None
-            else visible.select("doc_id").distinct().select("doc_id", F.struct(F.lit(0).cast("bigint").alias("ctr"), F.lit("").alias("actor")).alias("obj"), F.lit(MAKE_MAP).alias("op_action"))
-        )
-        e = entries.join(objs.select("doc_id", "obj"), ["doc_id", "obj"], "left_semi")
-        if done is not None:
-            e = e.join(done.select("doc_id", F.col("obj").alias("op"), F.col("json").alias("_sub")), ["doc_id", "op"], "left")
-            e = e.withColumn("json", F.coalesce("json", "_sub"))
-        item = F.when(F.col("seq"), F.col("json")).otherwise(F.concat(F.regexp_extract(F.to_json(F.struct(F.col("reg").alias("x"))), r"^\{\"x\":([\s\S]*)\}$", 1), F.lit(":"), F.col("json")))
-        body = e.where(F.col("json").isNotNull()).groupBy("doc_id", "obj").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "reg", item.alias("j")))), lambda x: x["j"]), ",").alias("_body")
+    made = F.col("op_action").isin(*_MAKES)
+    t = texts.select("doc_id", F.col("obj_id").alias("child"), _json(F.col("text")).alias("text"))
+    rows = (
+        w.join(order, ["doc_id", "obj", "elem"], "left")
+        .where(F.col("elem").isNull() | F.col("pos").isNotNull())
+        .select(
+            "doc_id", id_text("obj").alias("obj"), F.coalesce("pos", F.lit(0)).alias("pos"), _json(F.col("reg")).alias("label"),
+            F.when(made, id_text("op")).alias("child"), F.col("op_action").cast("int").alias("action"),
+            F.when(~made, scalar_json(F.col("val"), F.col("n"))).alias("json"),
         )
-        full = objs.join(body, ["doc_id", "obj"], "left").withColumn("_body", F.coalesce("_body", F.lit("")))
-        full = full.join(text_json, (full["doc_id"] == text_json["doc_id"]) & (id_text(full["obj"]) == text_json["obj_id"]), "left").select(
-            full["doc_id"], full["obj"],
-            F.when(F.col("op_action") == MAKE_TEXT, F.coalesce("text_json", F.lit('""')))
-            .when(F.col("op_action") == MAKE_LIST, F.concat(F.lit("["), F.col("_body"), F.lit("]")))
-            .otherwise(F.concat(F.lit("{"), F.col("_body"), F.lit("}"))).alias("json"),
-        )
-        done = cut(full)
-    return done.where(id_text("obj") == ROOT).select("doc_id", "json")
+        .join(t, ["doc_id", "child"], "left")
+    )
+    return rows.groupBy("doc_id").applyInPandas(_tree, "doc_id bigint, json string")
