@@ -25,6 +25,8 @@ LEVEL = 3
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 400_000, 130_000, 100_000
 #: The share of toxic documents assumed when thresholds are set, as raters don't see a random sample.
 PRIOR = 0.03
+#: How many times as often as others the documents with a phrase must be rated toxic for it to be toxic text.
+LIFT = 8
 
 # Signs written for letters, and letters of two scripts that look alike.
 _LEET = str.maketrans("013457@$€", "oieastase")
@@ -78,6 +80,14 @@ def sides(text: str | None, first_chars: int | None) -> tuple[str, str]:
     return plain(text[:n]), plain(text[n:])
 
 
+def raw(words: str) -> bytes:
+    """A window as bytes: one for each letter of Latin and Cyrillic words, so that gains mean the same in both."""
+    try:
+        return words.encode("cp1251")
+    except UnicodeEncodeError:
+        return words.encode()
+
+
 def windows(side: str) -> list[str]:
     """Overlapping windows over all words of a side."""
     w = side.split()
@@ -116,8 +126,8 @@ class Model:
         best = 0
         for side in texts:
             for w in windows(side):
-                raw = w.encode()
-                best = max(best, len(plain_(raw)) - len(toxic(raw)))
+                b = raw(w)
+                best = max(best, len(plain_(b)) - len(toxic(b)))
         return best
 
 
@@ -127,24 +137,34 @@ def _grams(w: list[str]) -> Iterator[tuple[int, int, str]]:
             yield k, n, " ".join(w[k : k + n])
 
 
-def _dictionaries(toxic: list[tuple[str, str]], ordinary: list[tuple[str, str]]) -> tuple[bytes, bytes]:
+def _documents_with(docs: Iterable[tuple[str, str]], wanted=None) -> Counter:
+    """In how many documents each phrase occurs (of ``wanted`` ones only, if given)."""
+    n: Counter[str] = Counter()
+    for doc in docs:
+        grams = {g for side in doc for _, _, g in _grams(side.split())}
+        n.update(grams if wanted is None else grams & wanted)
+    return n
+
+
+def recurring(rated: list[tuple[int, bool, tuple[str, str]]]) -> set[str]:
+    """Phrases that several toxic documents share: what is to be counted in the corpus."""
+    return {g for g, n in _documents_with(s for _, t, s in rated if t).items() if n >= 2}
+
+
+def _dictionaries(
+    toxic: list[tuple[str, str]], ordinary: list[tuple[str, str]], wanted: set[str], df: dict[str, int], n_docs: int
+) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary content.
 
-    Toxic text is what recurs in toxic documents and hardly in ordinary ones: runs of words covered
-    by one- to three-word phrases of which too many lie in toxic documents to be chance.  Ordinary
-    text is a mixture of all ordinary documents, and last the surroundings of those phrases that
-    toxic and ordinary documents share, so that harmless uses of such words are known.
+    Toxic text is what recurs in toxic documents and is rare elsewhere in the corpus: runs of words
+    covered by one- to three-word phrases whose documents were rated toxic at least ``LIFT`` times as
+    often as documents in general.  Ordinary text is a mixture of all ordinary documents, and last
+    the surroundings of such words where ordinary documents share them, so that harmless uses are known.
     """
-    p, q = Counter(), Counter()
-    for doc in toxic:
-        p.update({g for side in doc for _, _, g in _grams(side.split())})
-    least = 2 if len(toxic) < 60 else 3 if len(toxic) < 400 else 4
-    p = Counter({g: n for g, n in p.items() if n >= 2})
-    for doc in ordinary:
-        q.update({g for side in doc for _, _, g in _grams(side.split()) if g in p})
-    odds = 8 * max(1, len(toxic)) / max(1, len(ordinary))
-    telling = {g for g, n in p.items() if n >= least and n >= odds * (q[g] + 0.5)}
-    rare = 0.01 * max(1, len(ordinary))
+    p, q = _documents_with(toxic, wanted), _documents_with(ordinary)
+    least = 2 if len(toxic) < 400 else 3 if len(toxic) < 1500 else 4
+    base = LIFT * max(1, len(toxic)) / max(1, n_docs)
+    telling = {g for g, n in p.items() if n >= least and n >= base * df.get(g, n)}
     runs: Counter[str] = Counter()
     for doc in toxic:
         for side in doc:
@@ -163,26 +183,27 @@ def _dictionaries(toxic: list[tuple[str, str]], ordinary: list[tuple[str, str]])
                 k = end + 1
     chunks: dict[str, None] = {}
     hard: dict[str, None] = {}
+    marked = {g for g in telling if " " not in g}
     for doc in ordinary:
         for side in doc:
             w = side.split()
             for k in range(0, len(w), 12):
                 chunks[" ".join(w[k : k + 12])] = None
-            for k, _, g in _grams(w):
-                if g in p and g not in telling and q[g] < rare:
+            for k in range(len(w) - 2):
+                if not marked.isdisjoint(w[k : k + 3]) and q[g := " ".join(w[k : k + 3])] >= 2 and p[g] * 4 <= q[g]:
                     hard[" ".join(w[max(0, k - 5) : k + 8])] = None
     mixed, close = sorted(chunks), sorted(hard)
     random.Random(7).shuffle(mixed)
     random.Random(7).shuffle(close)
     best_last = sorted(runs, key=lambda r: (runs[r], r))
     return (
-        " ".join(mixed).encode()[-ORDINARY_BYTES:] + b" " + " ".join(close).encode()[-HARD_BYTES:],
-        " ".join(best_last).encode()[-TOXIC_BYTES:],
+        b" ".join(map(raw, mixed))[-ORDINARY_BYTES:] + b" " + b" ".join(map(raw, close))[-HARD_BYTES:],
+        b" ".join(map(raw, best_last))[-TOXIC_BYTES:],
     )
 
 
-def fit(rated: list[tuple[int, bool, tuple[str, str]]]) -> Model:
-    """A model from (doc_id, toxic, sides).
+def fit(rated: list[tuple[int, bool, tuple[str, str]]], df: dict[str, int], n_docs: int) -> Model:
+    """A model from (doc_id, toxic, sides), and in how many of the ``n_docs`` documents :func:`recurring` phrases are.
 
     The threshold is set on three tenths of the documents with dictionaries from the others: the
     gain with the best F1, ordinary documents weighted to the share they have where toxic ones
@@ -193,9 +214,9 @@ def fit(rated: list[tuple[int, bool, tuple[str, str]]]) -> Model:
     all_toxic, all_ordinary = [s for _, t, s in rated if t], [s for _, t, s in rated if not t]
     if not all_toxic or not all_ordinary:
         return Model(b"", b"", None)
-    threshold = 12
+    wanted, threshold = set(df), 12
     if len(test := split(True, True)) >= 10 and (rest := split(True, False)):
-        part = Model(*_dictionaries(split(False, True), split(False, False)), None)
+        part = Model(*_dictionaries(split(False, True), split(False, False), wanted, df, n_docs), None)
         yes, no = sorted(part.gain(s) for s in test), sorted(part.gain(s) for s in rest)
         best = -1.0
         for t in range(4, 30):
@@ -204,7 +225,20 @@ def fit(rated: list[tuple[int, bool, tuple[str, str]]]) -> Model:
             f1 = 2 * hit / (hit + false + PRIOR)
             if f1 > best:
                 best, threshold = f1, t
-    return Model(*_dictionaries(all_toxic, all_ordinary), threshold)
+    return Model(*_dictionaries(all_toxic, all_ordinary, wanted, df, n_docs), threshold)
+
+
+def phrase_counts(documents: DataFrame, wanted: set[str]) -> DataFrame:
+    """``gram``, ``n``: in how many documents each wanted phrase occurs, over all windows of all documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for b in batches:
+            n.update(_documents_with((sides(t, c) for t, c in zip(b["text"].tolist(), b["src_chars"].tolist())), wanted))
+        yield pd.DataFrame({"gram": list(n), "n": list(n.values())})
+
+    parts = documents.select("text", "src_chars").mapInPandas(count, "gram string, n bigint")
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def majority(ratings: DataFrame) -> DataFrame:
@@ -219,10 +253,16 @@ def majority(ratings: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED) -> Model:
-    """A model from the rated documents, of which at most ``max_rated`` are used."""
+    """A model from the rated documents, of which at most ``max_rated`` are used.
+
+    What is collected is bounded by that sample; the phrases in it are counted in all documents.
+    """
     chosen = majority(ratings).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     rows = documents.select("doc_id", "text", "src_chars").join(chosen, "doc_id").collect()
-    return fit(sorted((r.doc_id, r.toxic, sides(r.text, r.src_chars)) for r in rows))
+    rated = sorted((r.doc_id, r.toxic, sides(r.text, r.src_chars)) for r in rows)
+    wanted = recurring(rated)
+    df = {r.gram: r.n for r in phrase_counts(documents, wanted).collect()} if wanted else {}
+    return fit(rated, df, documents.count())
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
