@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import doclog, logs
+from . import doclog, exchange, logs
 
-QUERIES = {**logs.QUERIES, **doclog.QUERIES}
-ORACLES = {**logs.ORACLES, **doclog.ORACLES}
+QUERIES = {**logs.QUERIES, **doclog.QUERIES, **exchange.QUERIES}
+ORACLES = {**logs.ORACLES, **doclog.ORACLES, **exchange.ORACLES}
