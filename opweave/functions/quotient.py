@@ -13,7 +13,7 @@ import struct
 
 import numpy as np
 
-_HEAD = struct.Struct("<BBQQ")  # q, r, number of fingerprints, number of slots
+_HEAD = "<BBQQ"  # q, r, number of fingerprints, number of slots
 
 
 def encode(fps: np.ndarray, q: int, r: int) -> bytes:
@@ -34,13 +34,13 @@ def encode(fps: np.ndarray, q: int, r: int) -> bytes:
     for k in range(width):
         stored[pos, k] = (rem >> (8 * k)) & 0xFF
     return b"".join(
-        [_HEAD.pack(q, r, n, slots), *(np.packbits(b).tobytes() for b in (occupied, continuation, shifted)), stored.tobytes()]
+        [struct.pack(_HEAD, q, r, n, slots), *(np.packbits(b).tobytes() for b in (occupied, continuation, shifted)), stored.tobytes()]
     )
 
 
 def _open(payload: bytes):
-    q, r, n, slots = _HEAD.unpack_from(payload)
-    at, bits = _HEAD.size, (slots + 7) // 8
+    q, r, n, slots = struct.unpack_from(_HEAD, payload)
+    at, bits = struct.calcsize(_HEAD), (slots + 7) // 8
     flags = []
     for _ in range(3):
         flags.append(np.unpackbits(np.frombuffer(payload, np.uint8, bits, at), count=slots).astype(bool))
@@ -59,7 +59,7 @@ def _remainders(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def size(payload: bytes) -> int:
     """How many fingerprints the filter holds."""
-    return _HEAD.unpack_from(payload)[2]
+    return struct.unpack_from(_HEAD, payload)[2]
 
 
 def decode(payload: bytes) -> np.ndarray:
@@ -73,7 +73,7 @@ def decode(payload: bytes) -> np.ndarray:
 
 def merge(a: bytes, b: bytes) -> bytes:
     """The filter of all fingerprints of two filters of the same geometry: a merge of two sorted runs."""
-    (q, r), other = _HEAD.unpack_from(a)[:2], _HEAD.unpack_from(b)[:2]
+    (q, r), other = struct.unpack_from(_HEAD, a)[:2], struct.unpack_from(_HEAD, b)[:2]
     if (q, r) != other:
         raise ValueError(f"filters of different geometry: {(q, r)} and {other}")
     return encode(np.concatenate([decode(a), decode(b)]), q, r)

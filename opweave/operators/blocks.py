@@ -31,7 +31,7 @@ def assign(nodes: DataFrame, sizing: DataFrame, max_nodes: int = MAX_NODES) -> t
     sizes = sizing.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > max_nodes)
     total, n_large = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > max_nodes)).first()
-    buckets = max(2 * spark.sparkContext.defaultParallelism, int(total) // (max_nodes // 4) + 1)
+    buckets = max(2 * spark.sparkContext.defaultParallelism, int(total) // max(1, max_nodes // 4) + 1)
     by_hash = F.concat(F.lit("h"), F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("string"))
     if not n_large:
         return nodes.withColumn("blk", by_hash), None, buckets
@@ -113,11 +113,12 @@ def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_N
     parts = cut(parts.select(*used))
     if mode == "up":
         return out.unionByName(_climb(parts, alone))
-    ext = cut(crossing(parts))
+    ext = cut(crossing(parts).toDF("g", "blk", "id"))
     waits = ext.select("g", "id").distinct()
     facts, known = waits.limit(0), 0
     while True:
         told = ext.join(facts.withColumn("flag", F.lit(True)), ["g", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+        told = told.toDF(*told.columns)
         step = parts.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(with_ext, _FLAGS)
         facts = cut(step.where("flag").join(waits, ["g", "id"], "left_semi").select("g", "id"))
         if (now := facts.count()) == known:
