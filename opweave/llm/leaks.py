@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ MIN_WORDS = 8
 SHARD_WORDS = 1_000_000
 ITEMS_PER_BLOCK = 20_000
 
-_MATCHES = "doc_id bigint, item_id bigint, side string, n_words int, item_word int, doc_word int"
+_MATCHES = "item_id bigint, side string, n_words int, item_word int, doc_word int"
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -103,7 +104,7 @@ def _shard_matches(p: Passages, doc_ids: list, texts: list[list[str]]) -> pd.Dat
     """All longest matches of one shard of the corpus."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.array([w for t in texts for w in t], dtype=object)
-    none = pd.DataFrame({c.split()[0]: [] for c in _MATCHES.split(", ")})
+    none = pd.DataFrame({c.split()[0]: [] for c in f"doc_id any, {_MATCHES}".split(", ")})
     if not len(flat) or not len(p.start):
         return none
     # words that no item has end every match, so suffixes are kept only inside runs of the items' words
@@ -134,11 +135,11 @@ def _shard_matches(p: Passages, doc_ids: list, texts: list[list[str]]) -> pd.Dat
         n[live] += 1
     found = pd.DataFrame({"doc": doc[pos], "text": p.text[q], "n_words": n, "item_word": p.offset[q], "doc_word": word[pos]})
     found = found.sort_values(["doc", "text", "n_words", "item_word", "doc_word"], ascending=[True, True, False, True, True])
-    found = found.drop_duplicates(["doc", "text"])
+    found = found.drop_duplicates(["doc", "text"]).reset_index(drop=True)
     owner = [p.owner[t] for t in found["text"]]
     return pd.DataFrame(
         {
-            "doc_id": [doc_ids[d] for d in found["doc"]],
+            "doc_id": pd.Series([doc_ids[d] for d in found["doc"]], dtype=object),
             "item_id": [o[0] for o in owner],
             "side": [o[1] for o in owner],
             "n_words": found["n_words"].astype("int32"),
@@ -148,6 +149,11 @@ def _shard_matches(p: Passages, doc_ids: list, texts: list[list[str]]) -> pd.Dat
     )
 
 
+def _batch(found: pd.DataFrame, id_kind: pa.DataType) -> pa.RecordBatch:
+    kinds = {"doc_id": id_kind, "item_id": pa.int64(), "side": pa.string(), "n_words": pa.int32(), "item_word": pa.int32(), "doc_word": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(found[c].tolist(), k) for c, k in kinds.items()], names=list(kinds))
+
+
 def leaked_passages(
     documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
@@ -163,28 +169,30 @@ def leaked_passages(
     shard's suffix array and look up every suffix of every item by binary search.  Nothing is shuffled.
     """
     n_items = items.count()
+    id_kind = documents.select("doc_id").schema[0].dataType.simpleString()
     out = None
     rows = items.select("item_id", "src_text", "ref_text").orderBy("item_id").toLocalIterator()
     for _ in range(max(1, -(-n_items // ITEMS_PER_BLOCK))):
         block = [tuple(r) for _, r in zip(range(ITEMS_PER_BLOCK), rows)]
 
-        def match(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             passages = Passages(block, least)
             ids: list = []
             texts: list[list[str]] = []
-            size = 0
+            size, kind = 0, None
             for b in batches:
-                for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
+                kind = b.column(0).type
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     ids.append(doc_id)
                     texts.append(words(text))
                     size += len(texts[-1])
                     if size >= shard_words:
-                        yield _shard_matches(passages, ids, texts)
+                        yield _batch(_shard_matches(passages, ids, texts), kind)
                         ids, texts, size = [], [], 0
             if ids:
-                yield _shard_matches(passages, ids, texts)
+                yield _batch(_shard_matches(passages, ids, texts), kind)
 
-        part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(match, _MATCHES)
+        part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(match, f"doc_id {id_kind}, {_MATCHES}")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -117,7 +117,7 @@ def pack(
 ) -> DataFrame:
     """``id``, ``piece_no``, ``container_id``, ``start`` (in the container), ``n_tokens``: every item in containers of ``capacity``.
 
-    Items are dealt to shards by the hash of their id and packed there in the order of ids, so the
+    Items are dealt to shards by the hash of their id and packed there in the order of ids as text, so the
     result doesn't depend on how the input was split.  A shard leaves at most ``open_bins``
     containers open; the share of these falls with ``docs_per_shard``.  Items of size 0 (or null) take
     no room but get a place.  ``container_id`` is the shard times 2^32 plus a number in the shard.
@@ -140,10 +140,10 @@ def pack(
         )
 
     sharded = items.select(
-        F.col(id).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"),
+        F.col(id).cast("string").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"),
         F.pmod(F.xxhash64(id), F.lit(shards)).cast("int").alias("shard"),
     )
     out = sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(
-        fill, f"id {kind}, piece_no int, container_id bigint, start int, n_tokens int"
+        fill, "id string, piece_no int, container_id bigint, start int, n_tokens int"
     )
-    return out.withColumnRenamed("id", id)
+    return out.withColumns({"id": F.col("id").cast(kind)}).withColumnRenamed("id", id)

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -272,17 +273,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     neither is anything if no ratings of both kinds were there to learn from.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gains = [
-                model.gain(sides(t, n)) if model.threshold is not None else 0
-                for t, n in zip(b["text"].tolist(), b["src_chars"].tolist())
-            ]
+            texts = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            gains = [model.gain(sides(t, n)) if model.threshold is not None else 0 for t, n in texts]
             toxic = [model.threshold is not None and g >= model.threshold for g in gains]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": gains, "toxic": toxic})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gains, pa.int32()), pa.array(toxic, pa.bool_())], names=["doc_id", "score", "toxic"])
 
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    return documents.select("doc_id", "text", "src_chars").mapInPandas(run, f"doc_id {kind}, score int, toxic boolean")
+    return documents.select("doc_id", "text", "src_chars").mapInArrow(run, f"doc_id {kind}, score int, toxic boolean")
 
 
 def rates(documents: DataFrame, scores: DataFrame) -> DataFrame:
