@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..sources.tables import id_text
 from .graph import covered_ops
 from .sequence import text_width
-from .state import MAKE_TEXT, MARK, log_ops, value_text
+from .state import MAKE_MAP, MAKE_TEXT, MARK, log_ops, value_text
 
 OBJECT_MARK = "￼"
 
@@ -20,17 +20,17 @@ def text_objects(ops: DataFrame) -> DataFrame:
 
 
 def text_items(ops: DataFrame, visible: DataFrame, order: DataFrame, encoding: str = "codepoints") -> DataFrame:
-    """Every visible member of every text element: ``doc_id``, ``obj``, ``elem``, ``pos``, ``op``, ``s``, ``start``, ``width``.
+    """Every visible member of every text element: ``doc_id``, ``obj``, ``elem``, ``pos``, ``op``, ``s``, ``block_id``, ``start``, ``width``.
 
     Members of one element that conflict are all there, in order of their ids.  What isn't a string
-    is an object mark.  ``start`` counts the widths before.
+    is an object mark; a map in a text is a block.  ``start`` counts the widths before.
     """
     s = F.when(F.col("val.tag") == "str", F.col("val.s")).otherwise(F.lit(OBJECT_MARK))
     rows = (
         visible.where(F.col("elem").isNotNull())
         .join(text_objects(ops), ["doc_id", "obj"], "left_semi")
         .join(order, ["doc_id", "obj", "elem"])
-        .select("doc_id", "obj", "elem", "pos", "op", s.alias("s"))
+        .select("doc_id", "obj", "elem", "pos", "op", s.alias("s"), F.when(F.col("op_action") == MAKE_MAP, id_text("op")).alias("block_id"))
         .withColumn("width", text_width(F.col("s"), encoding).cast("bigint"))
     )
     w = Window.partitionBy("doc_id", "obj").orderBy("pos", "op").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,15 +80,26 @@ def marks(items: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def spans(items: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``doc_id``, ``obj_id``, ``span_no`` (from 1), ``text``, ``marks`` (``name=value``, sorted): runs of items with the same marks."""
+    """``doc_id``, ``obj_id``, ``span_no`` (from 1), ``text``, ``marks`` (``name=value``, sorted), ``block_id``.
+
+    Runs of items with the same marks; a block is a span of its own, without text.
+    """
     m = item_marks(items, intervals).groupBy("doc_id", "obj", "pos", "op").agg(
         F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "name", "value"))), ",").alias("marks")
     )
     rows = items.join(m, ["doc_id", "obj", "pos", "op"], "left").withColumn("marks", F.coalesce("marks", F.lit("")))
     w = Window.partitionBy("doc_id", "obj").orderBy("pos", "op")
-    fresh = F.coalesce(F.lag("marks").over(w) != F.col("marks"), F.lit(True)).cast("int")
+    block = F.col("block_id").isNotNull() | F.lag("block_id").over(w).isNotNull()
+    fresh = (F.coalesce(F.lag("marks").over(w) != F.col("marks"), F.lit(True)) | block).cast("int")
     numbered = rows.withColumn("_new", fresh).withColumn("span_no", F.sum("_new").over(w))
     parts = F.array_sort(F.collect_list(F.struct("pos", "op", "s")))
-    return numbered.groupBy("doc_id", "obj", "span_no", "marks").agg(F.array_join(F.transform(parts, lambda p: p["s"]), "").alias("text")).select(
-        "doc_id", id_text("obj").alias("obj_id"), "span_no", "text", "marks"
+    text = F.when(F.col("block_id").isNull(), F.array_join(F.transform(parts, lambda p: p["s"]), ""))
+    return numbered.groupBy("doc_id", "obj", "span_no", "marks", "block_id").agg(text.alias("text")).select(
+        "doc_id", id_text("obj").alias("obj_id"), "span_no", "text", "marks", "block_id"
     )
+
+
+def marks_at(items: DataFrame, intervals: DataFrame, index: int) -> DataFrame:
+    """``doc_id``, ``obj_id``, ``name``, ``value``: the marks in force at a place of each text (in the widths of ``items``)."""
+    here = items.where((F.col("start") <= index) & (F.col("start") + F.col("width") > index))
+    return item_marks(here, intervals).select("doc_id", id_text("obj").alias("obj_id"), "name", "value")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.tables import HEAD, ROOT, id_text
+from .blocks import MAX_NODES, forest
 from .graph import covered_ops
 
 MAKE_MAP, SET, MAKE_LIST, DELETE, MAKE_TEXT, INCREMENT, MAKE_TABLE, MARK = range(8)
@@ -141,6 +143,41 @@ def object_kinds(objects_: DataFrame) -> DataFrame:
     return objects_.groupBy("doc_id", "obj_type").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
+def paths(ops: DataFrame, visible: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """``doc_id``, ``obj_id``, ``path`` (keys and element ids from the root), ``depth``, ``visible``: where every object lies.
+
+    Components that are deleted or have lost their register to another value are still in the path;
+    ``visible`` tells whether all of them can be seen.  Objects whose parents were never made, or hang
+    in a loop, have no path and are left out.
+    """
+    o = objects(ops)
+    live = winners(visible).select("doc_id", id_text("op").alias("obj_id"), F.lit(True).alias("_seen"))
+    o = o.join(live, ["doc_id", "obj_id"], "left")
+    nodes = o.select(
+        F.col("doc_id").cast("string").alias("g"), F.split("obj_id", "@")[0].cast("bigint").alias("ord"), F.col("obj_id").alias("id"),
+        F.when(F.col("parent_id") != ROOT, F.col("parent_id")).alias("parent"), "parent_id", "reg", F.col("_seen").isNotNull().alias("_seen"),
+    )
+    tree = forest(nodes.select("g", "ord", "id", "parent"), nodes.select("g", "ord"), with_path=True, max_nodes=max_nodes).where(~F.col("endless"))
+    rooted = tree.join(nodes.where(F.col("parent_id") == ROOT).select("g", F.col("id").alias("root")), ["g", "root"], "left_semi")
+    step = rooted.select("g", "node_no", "id").join(nodes.select("g", "id", "reg", "_seen"), ["g", "id"]).drop("id")
+    parts = rooted.select("g", "id", F.col("depth"), F.posexplode("path").alias("_at", "node_no")).join(step, ["g", "node_no"])
+    whole = parts.groupBy("g", "id", "depth").agg(F.array_sort(F.collect_list(F.struct("_at", "reg"))).alias("_p"), F.min("_seen").alias("visible"))
+    return whole.select(
+        F.col("g").cast("bigint").alias("doc_id"), F.col("id").alias("obj_id"), F.array_join(F.transform("_p", lambda p: p["reg"]), "/").alias("path"), "depth", "visible"
+    )
+
+
+def iterate(visible: DataFrame, order: DataFrame) -> DataFrame:
+    """The winning items of all objects in reading order: ``doc_id``, ``obj_id``, ``item_no``, ``reg``, ``kind``, ``value``.
+
+    Maps by key, sequences by place; ``item_no`` counts from 0 within an object.  Sorting by (counter,
+    actor) of the object's id gives parents before children.
+    """
+    w = Window.partitionBy("doc_id", "obj").orderBy("pos", "reg")
+    rows = winners(visible).join(order, ["doc_id", "obj", "elem"], "left").where(F.col("elem").isNull() | F.col("pos").isNotNull())
+    return rows.withColumn("item_no", F.row_number().over(w) - 1).select("doc_id", id_text("obj").alias("obj_id"), "item_no", "reg", _kind(), _value())
+
+
 def invalid_ops(ops: DataFrame) -> DataFrame:
     """Operations that a strict load refuses: ``doc_id``, ``op_id``, ``error``.
 

@@ -264,6 +264,23 @@ def state_invalid_ops(spark, d):
     return state.invalid_ops(ops(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_NOW},
+ob AS (SELECT DISTINCT doc_id, op, obj, coalesce(op_key, CASE WHEN is_insert THEN op.ctr || '@' || op.actor ELSE {_ELEM} END) AS reg FROM ops WHERE op_action IN (0, 2, 4, 6)),
+pa AS (SELECT doc_id, op, reg AS path, 1 AS depth, EXISTS (SELECT 1 FROM win WHERE win.doc_id = ob.doc_id AND win.op = ob.op) AS visible FROM ob WHERE obj.ctr = 0
+  UNION ALL SELECT ob.doc_id, ob.op, pa.path || '/' || ob.reg, depth + 1, visible AND EXISTS (SELECT 1 FROM win WHERE win.doc_id = ob.doc_id AND win.op = ob.op)
+  FROM pa JOIN ob ON ob.doc_id = pa.doc_id AND ob.obj = pa.op)
+SELECT doc_id, {_OPID} AS obj_id, path, depth::BIGINT AS depth, visible FROM pa""")
+def state_paths(spark, d):
+    return state.paths(ops(spark, d), state_now(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_NOW}, {_SEQ},
+x AS (SELECT win.*, pos FROM win LEFT JOIN pos ON (pos.doc_id, pos.obj, pos.elem) = (win.doc_id, win.obj, win.elem) WHERE win.elem IS NULL OR pos IS NOT NULL)
+SELECT doc_id, {_OBJ} AS obj_id, row_number() OVER (PARTITION BY doc_id, obj ORDER BY pos NULLS FIRST, reg) - 1 AS item_no, reg, {_KIND} AS kind, {_VALUE} AS value FROM x""")
+def state_iterate(spark, d):
+    return portable(state.iterate(state_now(spark, d), sequence.element_order(ops(spark, d))))
+
+
 # ---- sequences
 
 
@@ -354,7 +371,7 @@ m AS (SELECT item.doc_id, item.obj, item.pos, item.op, item.s, coalesce(string_a
   FROM item LEFT JOIN ok ON (ok.doc_id, ok.obj, ok.pos, ok.op) = (item.doc_id, item.obj, item.pos, item.op) GROUP BY ALL),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, obj ORDER BY pos, op) AS span_no FROM (
   SELECT *, CASE WHEN lag(marks) OVER (PARTITION BY doc_id, obj ORDER BY pos, op) = marks THEN 0 ELSE 1 END AS fresh FROM m))
-SELECT doc_id, {_OBJ} AS obj_id, span_no::BIGINT AS span_no, string_agg(s, '' ORDER BY pos, op) AS text, marks FROM n GROUP BY doc_id, obj, span_no, marks""")
+SELECT doc_id, {_OBJ} AS obj_id, span_no::BIGINT AS span_no, string_agg(s, '' ORDER BY pos, op) AS text, marks, NULL::VARCHAR AS block_id FROM n GROUP BY doc_id, obj, span_no, marks""")
 def text_spans(spark, d):
     items, order = _text_parts(spark, d)
     return richtext.spans(items, richtext.mark_intervals(ops(spark, d), order))
@@ -401,6 +418,15 @@ def diff_patch_runs(spark, d):
     return diff.coalesce_patches(rows).select("doc_id", "obj_id", "first_no", "action", "idx", "n")
 
 
+@query()
+def diff_texts(spark, d):
+    """The splices that lead from the middle version of every text to the current one."""
+    o = ops(spark, d)
+    texts = richtext.text_objects(o).select("doc_id", id_text("obj").alias("obj_id"))
+    rows = diff.list_diff(state_then(spark, d), state_now(spark, d), sequence.element_order(o)).join(texts, ["doc_id", "obj_id"], "left_semi")
+    return diff.coalesce_patches(rows).select("doc_id", "obj_id", "first_no", "action", "idx", "n", F.array_join("values", "").alias("text"))
+
+
 @query(f"{_HIST} SELECT doc_id, hash, actor, seq, start_op, max_op FROM c WHERE seq % 2 = 0 OR seq % 3 = 0")
 def merge_histories(spark, d):
     """Two replicas that each hold part of the history, merged."""

@@ -104,3 +104,17 @@ def test_files_json_and_merges(spark, logs, tmp_path):
     assert ab.exceptAll(ba).count() == ba.exceptAll(ab).count() == 0 and merge.merge_changes(ab, ab).count() == ab.count()
     applied, waiting = merge.apply_changes(c.limit(0), c.where("start_op > 1"))
     assert applied.count() == 0 and waiting.count() == c.where("start_op > 1").count()
+
+
+def test_value_functions(spark):
+    from opweave.functions import values as v
+
+    row = spark.createDataFrame([([1, 2, 3, 2],)], "a array<int>").selectExpr("a", "named_struct('tag','f64','i',cast(null as bigint),'u',cast(null as decimal(20,0)),'d',2.7D) AS f", "named_struct('tag','uint','i',cast(null as bigint),'u',cast('18446744073709551615' as decimal(20,0)),'d',cast(null as double)) AS u")
+    from pyspark.sql import functions as F
+
+    a, f, u = F.col("a"), F.col("f"), F.col("u")
+    got = row.select(
+        v.at(a, -1), v.at(a, 9), v.index_of(a, 2), v.index_of(a, 7), v.last_index_of(a, 2), v.includes(a, 3), v.slice_of(a, -2), v.splice_of(a, 1, 2, 9), v.find(a, lambda x: x > 1),
+        v.find_index(a, lambda x: x > 2), v.join(a, "-"), v.to_int(f), v.to_uint(u), v.to_int(u), v.to_double(u), v.is_number(f), v.is_kind(f, "str"),
+    ).first()
+    assert tuple(got) == (2, None, 1, -1, 3, True, [3, 2], [1, 9, 2], 2, 2, "1-2-3-2", 2, 18446744073709551615, None, 2.0**64, True, False)
