@@ -162,7 +162,7 @@ def _dictionaries(
     often as documents in general.  Ordinary text is a mixture of all ordinary documents, and last
     the surroundings of such words where ordinary documents share them, so that harmless uses are known.
     """
-    p, q = _documents_with(toxic, wanted), _documents_with(ordinary)
+    p = _documents_with(toxic, wanted)
     least = 2 if len(toxic) < 400 else 3 if len(toxic) < 1500 else 4
     base = LIFT * max(1, len(toxic)) / max(1, n_docs)
     telling = {g for g, n in p.items() if n >= least and n >= base * df.get(g, n)}
@@ -185,6 +185,9 @@ def _dictionaries(
     chunks: dict[str, None] = {}
     hard: dict[str, None] = {}
     marked = {g for g in telling if " " not in g}
+    q: Counter[str] = Counter()
+    for doc in ordinary:
+        q.update({" ".join(w[k : k + 3]) for w in (side.split() for side in doc) for k in range(len(w) - 2) if not marked.isdisjoint(w[k : k + 3])})
     for doc in ordinary:
         for side in doc:
             w = side.split()
