@@ -48,8 +48,8 @@ def keep_first(changes: DataFrame) -> DataFrame:
 
     ``hash`` is filled where another delivery of the change had it.  Extra columns pass through.
     """
-    ids = change_groups(changes).select(F.col("kept").alias("delivery_id"), F.col("hash").alias("_hash"))
-    return clean_changes(changes).join(ids, "delivery_id").withColumn("hash", F.col("_hash")).drop("_hash")
+    ids = change_groups(changes).select(F.col("kept").alias("delivery_id"), F.col("hash").alias("_opweave_hash"))
+    return clean_changes(changes).join(ids, "delivery_id").withColumn("hash", F.col("_opweave_hash")).drop("_opweave_hash")
 
 
 def further_copies(changes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import clean_changes, clean_id, id_text
+from ..sources.tables import clean_changes, clean_id, clean_op, id_text
 from .blocks import MAX_NODES, close
 
 
@@ -40,8 +40,8 @@ def change_targets(changes: DataFrame, archive: DataFrame | None = None) -> Data
 
 def op_references(ops: DataFrame) -> DataFrame:
     """``doc_id``, ``referrer`` and ``target`` id structs for each entry of ``pred``, repeats included."""
-    r = ops.select("doc_id", F.col("op").alias("referrer"), F.explode("pred").alias("target"))
-    return r.where(F.col("target").isNotNull())
+    r = ops.select("doc_id", clean_op("op").alias("referrer"), F.explode("pred").alias("target"))
+    return r.where(F.col("target").isNotNull()).withColumn("target", clean_op("target"))
 
 
 def orphan_references(changes: DataFrame, ops: DataFrame, archive: DataFrame | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def orphan_references(changes: DataFrame, ops: DataFrame, archive: DataFrame | N
     )
     of_ops = (
         op_references(ops)
-        .join(ops.select("doc_id", F.col("op").alias("target")).distinct(), ["doc_id", "target"], "left_anti")
+        .join(ops.select("doc_id", clean_op("op").alias("target")).distinct(), ["doc_id", "target"], "left_anti")
         .select(F.lit("ops").alias("ref_table"), "doc_id", id_text("referrer").alias("referrer_id"), id_text("target").alias("target_id"))
     )
     return of_changes.distinct().unionByName(of_ops.distinct())
@@ -90,7 +90,7 @@ def orphan_cascade(
         F.min("delivery_id").alias("first_id"),
     )
     no_pred = F.expr("array()").cast("array<struct<ctr:bigint,actor:string>>")
-    op_nodes = ops.groupBy("doc_id", "op").agg(F.collect_set(F.coalesce("pred", no_pred)).alias("_p"), F.min("delivery_id").alias("first_id"))
+    op_nodes = ops.groupBy("doc_id", clean_op("op").alias("op")).agg(F.collect_set(F.coalesce("pred", no_pred)).alias("_p"), F.min("delivery_id").alias("first_id"))
     op_nodes = op_nodes.select(
         F.col("doc_id").cast("string").alias("g"),
         id_text("op").alias("id"),

@@ -20,6 +20,12 @@ def clean_id(c: Column | str) -> Column:
     return F.when(stripped != "", stripped)
 
 
+def clean_op(c: Column | str) -> Column:
+    """An id struct with its actor in comparable form; null stays null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.struct(c["ctr"].alias("ctr"), F.lower(F.trim(c["actor"])).alias("actor")))
+
+
 def id_text(c: Column | str, root: str = ROOT) -> Column:
     """``ctr@actor`` of an id struct; ``ctr`` 0 is the root object (or a sequence's head)."""
     c = F.col(c) if isinstance(c, str) else c
