@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import id_text
-from .state import REGISTER, _kind, _value, winners
+from .graph import clock
+from .state import REGISTER, _kind, _value, visible_ops, winners
 
 
 def register_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -43,6 +44,23 @@ def register_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def diff_versions(changes: DataFrame, ops: DataFrame, before: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """Patches from one version (``doc_id``, ``hash`` of heads) to another, in either direction; None is the current one.
+
+    Only documents of ``before`` are compared.
+    """
+    docs = before.select("doc_id").distinct()
+    mine = ops.join(docs, "doc_id", "left_semi")
+    there = None if after is None else clock(changes, after)
+    return register_diff(visible_ops(mine, clock(changes, before)), visible_ops(mine, there))
+
+
+def within(patches: DataFrame, paths: DataFrame, doc_id: int, path: str) -> DataFrame:
+    """The patches to one object and all objects in it; ``path`` as :func:`state.paths` has it."""
+    inside = paths.where((F.col("doc_id") == doc_id) & ((F.col("path") == path) | F.startswith("path", F.lit(path + "/"))))
+    return patches.join(inside.select("doc_id", "obj_id"), ["doc_id", "obj_id"], "left_semi")
+
+
 def current_state(after: DataFrame) -> DataFrame:
     """The patches from nothing to a state."""
     return register_diff(after.limit(0), after)

@@ -64,6 +64,7 @@ class Snapshot:
         self.registers: dict[tuple[Id, str | Id], list[Op]] = {}
         self.order: dict[Id, list[Id]] = {}
         self.marks: dict[Id, Op] = {}
+        self.references: dict[Id, Id] = {}
 
     @classmethod
     def of_changes(cls, changes: Iterable[Change]) -> Snapshot:
@@ -90,6 +91,8 @@ class Snapshot:
             s._show(Op((r.op.ctr, r.op.actor), (r.obj.ctr, r.obj.actor), None if elem else r.reg, elem, False, r.op_action, tag, value))
         for r in sequence.element_order(o).orderBy("obj", "pos").collect():
             s.order.setdefault((r.obj.ctr, r.obj.actor), []).append((r.elem.ctr, r.elem.actor))
+        for r in state.log_ops(o.where("is_insert")).select("op", "elem").collect():
+            s.references[(r.op.ctr, r.op.actor)] = (r.elem.ctr, r.elem.actor)
         for r in state.log_ops(o.where(F.col("op_action") == state.MARK)).collect():
             s.marks[(r.op.ctr, r.op.actor)] = Op((r.op.ctr, r.op.actor), (r.obj.ctr, r.obj.actor), None, None, True, 7, mark=r.mark_name, expand=r.expand)
         for r in state.log_ops(o.where(F.col("op_action").isin(*_NAMES))).collect():
@@ -118,6 +121,7 @@ class Snapshot:
         else:
             slot[:] = [t for t in slot if t.id not in op.pred]
         if op.insert:
+            self.references[op.id] = op.elem
             seq = self.order.setdefault(op.obj, [])
             at = seq.index(op.elem) + 1 if op.elem != ROOT_ID else 0
             while at < len(seq) and seq[at] > op.id:
@@ -173,6 +177,34 @@ class Snapshot:
             return [self.value(self.registers[(obj, e)][-1]) for e in self.elements(obj)]
         return {k: self.get(obj, k) for k in self.keys(obj)}
 
+    def cursor(self, obj: Id, index: int | str, move: str = "after") -> str:
+        """A stable address of a place: ``ctr@actor`` of the element there, ``-`` before it if it moves before, ``s`` or ``e`` for start and end."""
+        if index in ("start", "end"):
+            return index[0]
+        i = self._register(obj, index)
+        return f"{'-' if move == 'before' else ''}{i[0]}@{i[1]}"
+
+    def cursor_position(self, obj: Id, cursor: str) -> int:
+        """Where a cursor points now.  A deleted element's cursor has moved to the next visible element or, if it
+        moves before, along the references to the first visible one, else to the start."""
+        seen = self.elements(obj)
+        if cursor in ("s", "e"):
+            return 0 if cursor == "s" else len(seen)
+        try:
+            ctr, actor = cursor.lstrip("-").split("@")
+            at = (int(ctr), actor)
+            seq = self.order[obj]
+            place = seq.index(at)
+        except (ValueError, KeyError) as x:
+            raise DocumentError(f"InvalidCursor: {cursor}") from x
+        if at in seen:
+            return seen.index(at)
+        if not cursor.startswith("-"):
+            return sum(1 for e in seq[:place] if self.registers.get((obj, e)))
+        while at in self.references and at not in seen:
+            at = self.references[at]
+        return seen.index(at) if at in seen else 0
+
     def _register(self, obj: Id, prop: str | int) -> str | Id:
         if (self.type_of(obj) in ("map", "table")) != isinstance(prop, str):
             raise DocumentError("InvalidOp: a key for a sequence or an index for a map")

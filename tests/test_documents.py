@@ -270,3 +270,18 @@ def test_duplicate_seq_is_refused():
     cs = history((A, [], lambda t: t.put(ROOT_ID, "k", 1)), (A, [], lambda t: t.put(ROOT_ID, "k", 2)))
     with pytest.raises(ValueError, match="DuplicateSeqNumber"):
         sync.Replica(cs)
+
+
+def test_cursors():
+    s = Snapshot()
+    t = Transaction(s, A)
+    x = t.put_object(ROOT_ID, "x", "text")
+    t.splice_text(x, 0, 0, "abcdef")
+    after, before = s.cursor(x, 3), s.cursor(x, 3, "before")
+    assert s.cursor_position(x, after) == s.cursor_position(x, before) == 3
+    t.splice_text(x, 2, 3)
+    assert s.text(x) == "abf" and s.cursor_position(x, after) == 2 and s.cursor_position(x, before) == 1
+    t.splice_text(x, 0, 2)
+    assert s.cursor_position(x, before) == 0 and s.cursor_position(x, s.cursor(x, "end")) == 1 == s.length(x)
+    with pytest.raises(DocumentError, match="InvalidCursor"):
+        s.cursor_position(x, "99@zz")

@@ -50,6 +50,9 @@ def test_reading_a_past_version(logs):
     assert got == want
     now = state.visible_ops(o.where(f"doc_id = {d}"))
     applied = diff.apply_patches(state.get(visible), diff.register_diff(visible, now))
+    patches = diff.diff_versions(some, o, at)
+    assert patches.count() == diff.register_diff(visible, now).count()
+    assert diff.within(patches, state.paths(o, now), d, "l").select("obj_id").distinct().count() <= 1
     key = ["doc_id", "obj_id", "reg", "value", "conflict"]
     assert applied.select(*key).exceptAll(state.get(now).select(*key)).count() == 0
     assert state.get(now).select(*key).exceptAll(applied.select(*key)).count() == 0
