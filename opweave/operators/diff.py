@@ -94,7 +94,7 @@ def list_diff(before: DataFrame, after: DataFrame, order: DataFrame) -> DataFram
         (F.col("a.op") != F.col("b.op")) | ~F.col("a.n").eqNullSafe(F.col("b.n")), "put"
     )
     rows = both.withColumns({"idx": idx, "action": action}).where(F.col("action").isNotNull())
-    return rows.withColumn("patch_no", F.row_number().over(w)).select("doc_id", "obj", "patch_no", "action", "idx", "a.*").select(
+    return rows.withColumn("patch_no", F.row_number().over(w).cast("bigint")).select("doc_id", "obj", "patch_no", "action", "idx", "a.*").select(
         "doc_id", id_text("obj").alias("obj_id"), "patch_no", "action", "idx", _value()
     )
 

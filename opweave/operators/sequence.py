@@ -57,7 +57,7 @@ def text_width(s: Column, encoding: str = "codepoints") -> Column:
 def list_range(winners: DataFrame, order: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
     """Visible elements with their ``idx`` (from 0) in [low, high): ``winners`` columns and ``idx``."""
     seq = winners.where(F.col("elem").isNotNull()).join(order, ["doc_id", "obj", "elem"])
-    at = F.row_number().over(Window.partitionBy("doc_id", "obj").orderBy("pos")) - 1
+    at = F.row_number().over(Window.partitionBy("doc_id", "obj").orderBy("pos")).cast("bigint") - 1
     rows = seq.withColumn("idx", at).where(F.col("idx") >= low)
     return rows if high is None else rows.where(F.col("idx") < high)
 

@@ -175,7 +175,7 @@ def iterate(visible: DataFrame, order: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id", "obj").orderBy("pos", "reg")
     rows = winners(visible).join(order, ["doc_id", "obj", "elem"], "left").where(F.col("elem").isNull() | F.col("pos").isNotNull())
-    return rows.withColumn("item_no", F.row_number().over(w) - 1).select("doc_id", id_text("obj").alias("obj_id"), "item_no", "reg", _kind(), _value())
+    return rows.withColumn("item_no", F.row_number().over(w).cast("bigint") - 1).select("doc_id", id_text("obj").alias("obj_id"), "item_no", "reg", _kind(), _value())
 
 
 def invalid_ops(ops: DataFrame) -> DataFrame:
