@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delivery, diff, graph, hydrate, merge, richtext, sequence, state
+from ..session import cut
 from ..sources.tables import id_text, table
 from .logs import _CLEAN, _IDENTITY
 
@@ -40,6 +41,11 @@ def middle_version(c: DataFrame) -> DataFrame:
     return early.groupBy("doc_id").agg(F.max_by("hash", F.struct("start_op", "hash")).alias("hash"))
 
 
+def replica_then(c: DataFrame) -> DataFrame:
+    """The changes of a replica that stopped at the middle version: its heads and their ancestors."""
+    return c.join(graph.ancestors(c, middle_version(c)), graph.KEY, "left_semi")
+
+
 def state_now(spark: SparkSession, d: str) -> DataFrame:
     return state.visible_ops(ops(spark, d))
 
@@ -125,6 +131,13 @@ def graph_changes_added(spark, d):
     return graph.changes_added(c.where(F.col("seq") % 3 > 0), c.where(F.col("seq") % 2 == 0)).select("doc_id", "hash")
 
 
+@query(f"{_HIST} SELECT doc_id, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM anc WHERE (anc.doc_id, anc.hash) = (c.doc_id, c.hash))")
+def graph_changes_added_whole(spark, d):
+    """Of a replica that stopped at the middle version and the whole history, what the whole one has and the stopped one hasn't."""
+    c = cut(changes(spark, d).select("doc_id", "hash", "start_op", "deps"))
+    return graph.changes_added(replica_then(c), c).select("doc_id", "hash")
+
+
 @query(f"{_HIST} SELECT DISTINCT doc_id, dep AS hash FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE (c.doc_id, c.hash) = (d.doc_id, d.dep))")
 def graph_missing_deps(spark, d):
     return graph.missing_deps(changes(spark, d))
@@ -434,6 +447,13 @@ def merge_histories(spark, d):
     return merge.merge_changes(c.where("seq % 2 = 0"), c.where("seq % 3 = 0"))
 
 
+@query(f"{_HIST} SELECT doc_id, hash, actor, seq, start_op, max_op FROM c")
+def merge_whole_histories(spark, d):
+    """Two replicas merged: one that stopped at the middle version, one with all changes."""
+    c = cut(changes(spark, d).select("doc_id", "hash", "actor", "seq", "start_op", "max_op", "deps"))
+    return merge.merge_changes(replica_then(c).drop("deps"), c.drop("deps"))
+
+
 @query("SELECT DISTINCT doc_id, op.ctr AS ctr, op.actor AS actor, op_action::INT AS op_action FROM ops")
 def merge_logs(spark, d):
     o = ops(spark, d).select("doc_id", "op", F.col("op_action").cast("int").alias("op_action"))
