@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 MAX_RATED = 12_000
 WINDOW, STRIDE = 8, 4
 LEVEL = 3
+#: Toxic text may exceed its bytes where telling phrases need it: no run that alone holds a telling phrase is left out.
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 400_000, 130_000, 100_000
+#: The gain that one further unseen toxic document is taken to have, so that a handful of ratings can't set any threshold.
+PRIOR_GAIN = 12
 #: The share of toxic documents assumed when thresholds are set, as raters don't see a random sample.
 PRIOR = 0.03
 #: How many times as often as others the documents with a phrase must be rated toxic for it to be toxic text.
@@ -152,20 +155,39 @@ def recurring(rated: list[tuple[int, bool, tuple[str, str]]]) -> set[str]:
     return {g for g, n in _documents_with(s for _, t, s in rated if t).items() if n >= 2}
 
 
+def _kept_runs(runs: Counter[str], telling: set[str]) -> list[str]:
+    """Runs, the most frequent first: those that each telling phrase needs, and others while all fit in ``TOXIC_BYTES``."""
+    order = sorted(runs, key=lambda r: (runs[r], r), reverse=True)
+    needed, seen = set(), set()
+    for r in order:
+        grams = {g for _, _, g in _grams(r.split())} & telling
+        if not grams <= seen:
+            seen |= grams
+            needed.add(r)
+    left = TOXIC_BYTES - sum(len(raw(r)) + 1 for r in needed)
+    kept = []
+    for r in order:
+        if r not in needed:
+            left -= len(raw(r)) + 1
+            if left < 0:
+                continue
+        kept.append(r)
+    return kept
+
+
 def _dictionaries(
     toxic: list[tuple[str, str]], ordinary: list[tuple[str, str]], wanted: set[str], df: dict[str, int], n_docs: int
 ) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary content.
 
     Toxic text is what recurs in toxic documents and is rare elsewhere in the corpus: runs of words
-    covered by one- to three-word phrases whose documents were rated toxic at least ``LIFT`` times as
-    often as documents in general.  Ordinary text is a mixture of all ordinary documents, and last
+    covered by one- to three-word phrases of at least two toxic documents whose documents were rated
+    toxic at least ``LIFT`` times as often as documents in general, however many are rated.  Ordinary text is a mixture of all ordinary documents, and last
     the surroundings of such words where ordinary documents share them, so that harmless uses are known.
     """
     p = _documents_with(toxic, wanted)
-    least = 2 if len(toxic) < 400 else 3 if len(toxic) < 1500 else 4
     base = LIFT * max(1, len(toxic)) / max(1, n_docs)
-    telling = {g for g, n in p.items() if n >= least and n >= base * df.get(g, n)}
+    telling = {g for g, n in p.items() if n >= 2 and n >= base * df.get(g, n)}
     runs: Counter[str] = Counter()
     for doc in toxic:
         for side in doc:
@@ -199,10 +221,10 @@ def _dictionaries(
     mixed, close = sorted(chunks), sorted(hard)
     random.Random(7).shuffle(mixed)
     random.Random(7).shuffle(close)
-    best_last = sorted(runs, key=lambda r: (runs[r], r))
+    best_last = [raw(r) for r in reversed(_kept_runs(runs, telling))]
     return (
         b" ".join(map(raw, mixed))[-ORDINARY_BYTES:] + b" " + b" ".join(map(raw, close))[-HARD_BYTES:],
-        b" ".join(map(raw, best_last))[-TOXIC_BYTES:],
+        b" ".join(best_last),
     )
 
 
@@ -211,25 +233,24 @@ def fit(rated: list[tuple[int, bool, tuple[str, str]]], df: dict[str, int], n_do
 
     The threshold is set on three tenths of the documents with dictionaries from the others: the
     gain with the best F1, ordinary documents weighted to the share they have where toxic ones
-    are ``PRIOR`` of all.  Then the dictionaries are made from all.
+    are ``PRIOR`` of all, and of equal ones that nearest to ``PRIOR_GAIN``.  Then the dictionaries are
+    made from all.  All rules are the same however many documents are rated.
     """
     held = {i for i, _, _ in rated if random.Random(i).random() < 0.3}
     split = lambda keep, toxic: [s for i, t, s in rated if t == toxic and (i in held) == keep]
     all_toxic, all_ordinary = [s for _, t, s in rated if t], [s for _, t, s in rated if not t]
     if not all_toxic or not all_ordinary:
         return Model(b"", b"", None)
-    wanted, threshold = set(df), 12
-    if len(test := split(True, True)) >= 10 and (rest := split(True, False)):
-        part = Model(*_dictionaries(split(False, True), split(False, False), wanted, df, n_docs), None)
-        yes, no = sorted(part.gain(s) for s in test), sorted(part.gain(s) for s in rest)
-        best = -1.0
-        for t in range(4, 30):
-            hit = PRIOR * sum(g >= t for g in yes) / len(yes)
-            false = (1 - PRIOR) * sum(g >= t for g in no) / len(no)
-            f1 = 2 * hit / (hit + false + PRIOR)
-            if f1 > best:
-                best, threshold = f1, t
-    return Model(*_dictionaries(all_toxic, all_ordinary, wanted, df, n_docs), threshold)
+    wanted = set(df)
+    part = Model(*_dictionaries(split(False, True), split(False, False), wanted, df, n_docs), None)
+    yes, no = [PRIOR_GAIN, *(part.gain(s) for s in split(True, True))], [0, *(part.gain(s) for s in split(True, False))]
+
+    def merit(t: int) -> tuple[float, int]:
+        hit = PRIOR * sum(g >= t for g in yes) / len(yes)
+        false = (1 - PRIOR) * sum(g >= t for g in no) / len(no)
+        return 2 * hit / (hit + false + PRIOR), -abs(t - PRIOR_GAIN)
+
+    return Model(*_dictionaries(all_toxic, all_ordinary, wanted, df, n_docs), max(range(4, 30), key=merit))
 
 
 def phrase_counts(documents: DataFrame, wanted: set[str]) -> DataFrame:
