@@ -204,5 +204,5 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> Dat
 
 def without_leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The documents, with all their columns, that hold no passage of an item."""
-    affected = leaks(documents, items, least).select("doc_id").distinct()
-    return documents.join(affected, "doc_id", "left_anti")
+    affected = leaks(documents, items, least).select(F.col("doc_id").alias("_leaked")).distinct()
+    return documents.join(affected, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")

@@ -51,7 +51,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.rates(table(spark, d, "documents"), p10_scores(spark, d))
+    documents = table(spark, d, "documents")
+    return toxicity.source_rates(toxicity.score(documents, toxicity.train(documents, table(spark, d, "doc_labels")), "source"))
 
 
 QUERIES = {

@@ -290,8 +290,8 @@ def train(documents: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED)
     return fit(rated, df, documents.count())
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``score``, ``toxic`` for every document, over all windows of both sides.
+def score(documents: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
+    """``doc_id`` (or the column ``keep``), ``score``, ``toxic`` for every document, over all windows of both sides.
 
     ``score`` is the largest gain of a window in bytes.  Null and empty texts score 0 and aren't toxic;
     neither is anything if no ratings of both kinds were there to learn from.
@@ -302,16 +302,20 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             texts = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
             gains = [model.gain(sides(t, n)) if model.threshold is not None else 0 for t, n in texts]
             toxic = [model.threshold is not None and g >= model.threshold for g in gains]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gains, pa.int32()), pa.array(toxic, pa.bool_())], names=["doc_id", "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gains, pa.int32()), pa.array(toxic, pa.bool_())], names=[keep, "score", "toxic"])
 
-    kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    return documents.select("doc_id", "text", "src_chars").mapInArrow(run, f"doc_id {kind}, score int, toxic boolean")
+    kind = documents.select(keep).schema[0].dataType.simpleString()
+    return documents.select(keep, "text", "src_chars").mapInArrow(run, f"{keep} {kind}, score int, toxic boolean")
 
 
 def rates(documents: DataFrame, scores: DataFrame) -> DataFrame:
     """``source``, ``n_docs``, ``n_toxic``, ``rate``; a null source is one of its own."""
-    both = documents.select("doc_id", "source").join(scores.select("doc_id", "toxic"), "doc_id")
-    return both.groupBy("source").agg(
+    return source_rates(documents.select("doc_id", "source").join(scores.select("doc_id", "toxic"), "doc_id"))
+
+
+def source_rates(scored: DataFrame) -> DataFrame:
+    """The same from ``source`` and ``toxic`` of every document: null and repeated ids count as they come."""
+    return scored.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.count_if("toxic").alias("n_toxic"),
         (F.count_if("toxic") / F.count(F.lit(1))).alias("rate"),
