@@ -15,5 +15,5 @@ def test_leaking_document_without_id_goes(spark):
 def test_rates_count_every_document_once(spark):
     rows = [(1, "a", 1, "s"), (1, "b", 1, "s"), (None, "c", 1, "s"), (2, "d", 1, None)]
     documents = spark.createDataFrame(rows, "doc_id bigint, text string, src_chars bigint, source string")
-    scored = toxicity.score(documents, toxicity.Model(b"", b"", None), "source")
+    scored = toxicity.score(documents, toxicity.fit(toxicity.Ratings([]), {}, 0), "source")
     assert {r.source: (r.n_docs, r.n_toxic) for r in toxicity.source_rates(scored).collect()} == {"s": (3, 0), None: (1, 0)}

@@ -107,9 +107,9 @@ def test_leaks_in_tables(spark):
 
 
 def test_disguises_are_undone():
-    assert toxicity.plain("M0R0N, m o r o n; mo​ron morоn MORRRON m***n 12 m15t") == "moron moron moron moron moron mskd 0 mist"
-    assert toxicity.plain(None) == toxicity.plain("") == ""
-    assert toxicity.sides("ab\ncd", 2) == ("ab", "cd") and toxicity.sides("ab", None) == ("ab", "")
+    assert toxicity.plain("M0R0N, m o r o n; mo​ron morоn MORRRON m***n 12 m15t **bold**") == "moron moron moron moron moron mskd 0 mist bold".split()
+    assert toxicity.plain(None) == toxicity.plain("") == toxicity.plain(" * .") == []
+    assert toxicity.sides("ab\ncd", 2) == (["ab"], ["cd"]) and toxicity.sides("ab", None) == (["ab"], []) and toxicity.sides("ab", -1) == ([], ["ab"])
 
 
 def _corpus(n=1500, seed=1):
