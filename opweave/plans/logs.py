@@ -104,7 +104,7 @@ _CH = f"ch AS (SELECT delivery_id, doc_id, {_CLEAN.format('hash')} AS hash, {_CL
 #: Each delivery with the identity of its change.
 _IDENTITY = f"""{_CH},
 owner AS (SELECT doc_id, actor, seq, arg_min(hash, delivery_id) AS owner FROM ch WHERE hash IS NOT NULL GROUP BY ALL),
-ident AS (SELECT ch.*, coalesce(ch.hash, owner, concat_ws('|', ch.doc_id, ch.actor, ch.seq)) AS who, coalesce(ch.hash, owner) AS full_hash
+ident AS (SELECT ch.*, coalesce(ch.hash, owner, ch.doc_id || '|' || ch.actor || '|' || ch.seq, 'alone ' || ch.delivery_id) AS who, coalesce(ch.hash, owner) AS full_hash
           FROM ch LEFT JOIN owner USING (doc_id, actor, seq)),
 kept AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY delivery_id) AS copy_no FROM ident)"""
 _SESSIONS = f"""WITH {_IDENTITY},
