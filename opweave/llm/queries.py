@@ -1,12 +1,32 @@
-"""Queries p8 to p10 over training text."""
+"""Queries p4 and p8 to p10: seen keys and training text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import leaks, packing, toxicity
+from ..sources.tables import clean_id, table
+from . import leaks, packing, seen, toxicity
+
+
+def _seen(spark: SparkSession, d: str, r: int) -> seen.SeenBefore:
+    records = table(spark, d, "changes").select("delivery_id", clean_id("hash").alias("hash"))
+    return seen.SeenBefore(records, table(spark, d, "archive_hashes").select(clean_id("hash").alias("hash")), "delivery_id", "hash", r)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _seen(spark, d, seen.REMAINDER_BITS).found()
+
+
+def p4_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    """The filters of p4_found, and others with remainders of 8 bits, where wrong answers are frequent enough to count."""
+    return _seen(spark, d, seen.REMAINDER_BITS).errors().unionByName(_seen(spark, d, 8).errors())
+
+
+def p4_merged_filters(spark: SparkSession, d: str) -> DataFrame:
+    old, new = (table(spark, d, t).select(clean_id("hash").alias("hash")) for t in ("archive_hashes", "changes"))
+    g = seen.Geometry.for_keys(old.count() + new.count())
+    return seen.filter_stats(seen.merge_filters(seen.build_filters(old, "hash", g), seen.build_filters(new, "hash", g)))
 
 
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +77,14 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p8_assignments, p8_fill, p9_found, p9_longest_matches, p9_clean_documents, p10_found, p10_scores, p10_rates)
+    for f in (
+        p4_found, p4_error_rate, p4_merged_filters, p8_assignments, p8_fill, p9_found, p9_longest_matches, p9_clean_documents,
+        p10_found, p10_scores, p10_rates,
+    )
+}
+_CLEAN = r"nullif(lower(trim(hash, E' \t\r\n\u00a0')), '')"
+ORACLES: dict[str, str] = {
+    "p4_found": f"""WITH ch AS (SELECT delivery_id, {_CLEAN} AS hash FROM changes), a AS (SELECT DISTINCT {_CLEAN} AS hash FROM archive_hashes),
+m AS (SELECT hash, min(delivery_id) AS first_id FROM ch GROUP BY 1)
+SELECT delivery_id FROM ch JOIN m USING (hash) WHERE hash IN (SELECT hash FROM a WHERE hash IS NOT NULL) OR delivery_id > first_id""",
 }
-ORACLES: dict[str, str] = {}
