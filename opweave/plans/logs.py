@@ -1,11 +1,11 @@
-"""Queries p1 to p7 over the delivered log tables, with their SQL where SQL can say it."""
+"""Queries p1 to p3 and p5 to p7 over the delivered log tables, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import delivery, feed, hierarchy, orphans, seen, sessions, skew
+from ..operators import delivery, feed, hierarchy, orphans, sessions, skew
 from ..sources.tables import clean_changes, clean_id, id_text, table
 
 
@@ -50,26 +50,6 @@ def p3_entries_with_base(spark: SparkSession, d: str) -> DataFrame:
     return feed.current_entries(table(spark, d, "ops"), table(spark, d, "base_objects"))
 
 
-def _seen(spark: SparkSession, d: str, r: int) -> seen.SeenBefore:
-    records = table(spark, d, "changes").select("delivery_id", clean_id("hash").alias("hash"))
-    return seen.SeenBefore(records, table(spark, d, "archive_hashes").select(clean_id("hash").alias("hash")), "delivery_id", "hash", r)
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _seen(spark, d, seen.REMAINDER_BITS).found()
-
-
-def p4_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Measured with remainders of 8 bits, where wrong answers are frequent enough to count."""
-    return _seen(spark, d, 8).errors()
-
-
-def p4_merged_filters(spark: SparkSession, d: str) -> DataFrame:
-    old, new = (table(spark, d, t).select(clean_id("hash").alias("hash")) for t in ("archive_hashes", "changes"))
-    g = seen.Geometry.for_keys(old.count() + new.count())
-    return seen.filter_stats(seen.merge_filters(seen.build_filters(old, "hash", g), seen.build_filters(new, "hash", g)))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(table(spark, d, "changes"), table(spark, d, "ops"), table(spark, d, "archive_hashes"))
 
@@ -130,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_actor_profile, p1_object_profile, p2_found, p2_distinct_changes, p3_found, p3_entries_with_base,
-        p4_found, p4_error_rate, p4_merged_filters, p5_found, p5_report, p6_found, p6_sessions, p7_found, p7_objects, p7_changes,
+        p5_found, p5_report, p6_found, p6_sessions, p7_found, p7_objects, p7_changes,
     )
 }
 
@@ -153,9 +133,6 @@ SELECT p.*, p50, p90 FROM p JOIN q USING (actor)""",
 FROM kept WHERE copy_no = 1""",
     "p3_found": _ENTRIES.format(rows=_OPS_ROWS),
     "p3_entries_with_base": _ENTRIES.format(rows=f"{_OPS_ROWS} UNION ALL SELECT doc_id, op, obj, op_key, op_action, NULL, [] FROM base_objects"),
-    "p4_found": f"""WITH {_CH}, a AS (SELECT DISTINCT {_CLEAN.format('hash')} AS hash FROM archive_hashes)
-SELECT delivery_id FROM ch WHERE hash IS NOT NULL AND (hash IN (SELECT hash FROM a)
-  OR delivery_id > (SELECT min(delivery_id) FROM ch AS x WHERE x.hash = ch.hash))""",
     "p5_found": f"""WITH {_IDENTITY},
 r AS (SELECT DISTINCT doc_id, full_hash AS referrer_id, {_CLEAN.format('d')} AS target_id FROM (SELECT doc_id, full_hash, unnest(deps) AS d FROM ident)),
 k AS (SELECT doc_id, hash FROM ch UNION SELECT doc_id, {_CLEAN.format('hash')} FROM archive_hashes),

@@ -1,4 +1,4 @@
-"""Deduplication, heavy keys, current entries, seen keys, orphans, sessions: edge cases and brute force."""
+"""Deduplication, heavy keys, current entries, orphans, sessions: edge cases and brute force."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from opweave.functions import quotient
-from opweave.operators import delivery, feed, orphans, seen, sessions, skew
+from opweave.operators import delivery, feed, orphans, sessions, skew
 from opweave.sources.tables import clean_id
 
 CHANGES = "delivery_id bigint, doc_id bigint, hash string, actor string, seq bigint, start_op bigint, max_op bigint, time_ms bigint, received_at timestamp, deps array<string>"
@@ -147,45 +146,6 @@ def test_entries_of_nothing_nulls_and_late_deletes(spark):
     assert feed.current_entries(ops(spark, [])).count() == 0
 
 
-# ---- seen keys
-
-
-@given(st.lists(st.integers(0, 2**20 - 1), max_size=300), st.lists(st.integers(0, 2**20 - 1), max_size=300))
-def test_quotient_filter(a, b):
-    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    x, y = quotient.encode(a, 8, 12), quotient.encode(b, 8, 12)
-    assert (quotient.decode(x) == np.unique(a)).all() and quotient.size(x) == len(np.unique(a))
-    both = quotient.merge(x, y)
-    assert (quotient.decode(both) == np.union1d(a, b)).all()
-    assert (quotient.probe(x, np.concatenate([a, b])) == np.isin(np.concatenate([a, b]), a)).all()
-    with pytest.raises(ValueError):
-        quotient.merge(x, quotient.encode(b, 9, 11))
-
-
-@pytest.mark.parametrize("r", [1, 4, 24])
-def test_seen_before_is_exact_whatever_the_filter(spark, r):
-    rnd = random.Random(r)
-    keys = [f"{k:032x}" for k in range(400)]
-    records = [(i, rnd.choice([*keys, *keys[:1] * 100, None])) for i in range(900)]
-    earlier = rnd.sample(keys, 150) + ["0" * 32] * 3
-    got = seen.SeenBefore(spark.createDataFrame(records, "id bigint, key string"), spark.createDataFrame([(k,) for k in earlier], "key string"), "id", "key", r)
-    known, want = set(earlier), []
-    for i, k in records:
-        if k is not None:
-            want += [i] if k in known else []
-            known.add(k)
-    assert sorted(x.id for x in got.found().collect()) == want
-    e = got.errors().first()
-    assert e.n_candidates == len(want) + e.n_wrong and (e.n_wrong > 0) == (r == 1 or e.n_wrong > 0)
-
-
-def test_seen_before_of_nothing(spark):
-    none = spark.createDataFrame([], "id bigint, key string")
-    some = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id bigint, key string")
-    assert seen.SeenBefore(none, none, "id", "key").found().count() == 0
-    assert [r.id for r in seen.SeenBefore(some, none, "id", "key").found().collect()] == [3]
-
-
 # ---- orphans
 
 

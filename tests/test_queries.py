@@ -11,7 +11,7 @@ from scripts.verify import canonical
 
 SF = Path("/root/testdata/sf0.001")
 SOME = (
-    "p1_found p1_actor_profile p2_found p2_distinct_changes p3_found p3_entries_with_base p4_found p5_found p6_sessions p7_found "
+    "p1_found p1_actor_profile p2_found p2_distinct_changes p3_found p3_entries_with_base p5_found p6_sessions p7_found "
     "graph_heads graph_stats graph_op_changes state_get state_conflicts state_counters seq_order text_content diff_registers merge_logs"
 ).split()
 
@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    for n in range(1, 8):
+    for n in (1, 2, 3, 5, 6, 7):
         assert any(q.startswith(f"p{n}_") for q in entry.queries())
 
 
