@@ -82,7 +82,7 @@ QUERIES = {
         p10_found, p10_scores, p10_rates,
     )
 }
-_CLEAN = r"nullif(lower(trim(hash, E' \t\r\n\u00a0')), '')"
+_CLEAN = r"nullif(lower(trim(hash, E' \t\r\n' || chr(160))), '')"
 ORACLES: dict[str, str] = {
     "p4_found": f"""WITH ch AS (SELECT delivery_id, {_CLEAN} AS hash FROM changes), a AS (SELECT DISTINCT {_CLEAN} AS hash FROM archive_hashes),
 m AS (SELECT hash, min(delivery_id) AS first_id FROM ch GROUP BY 1)
