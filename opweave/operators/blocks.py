@@ -3,7 +3,9 @@
 Nodes belong to groups (documents); links stay within a group.  Groups of ordinary size share
 blocks by hash.  A group of more than ``max_nodes`` nodes is cut into blocks along the order of its
 operation counters at approximate quantiles: parents have smaller counters than children, so most
-links stay within a block and what crosses blocks is little.  No block grows with its group.
+links stay within a block and what crosses blocks is little.  Nodes with one counter that fill more than
+a quantile are spread over the blocks of these by the hash of their id, so no block grows with its group.
+Results don't depend on how groups are cut.
 """
 
 from __future__ import annotations
@@ -42,12 +44,16 @@ def assign(nodes: DataFrame, sizing: DataFrame, max_nodes: int = MAX_NODES) -> t
         .agg(F.percentile_approx("ord", grid, 8 * _GRID).alias("_splits"), F.count(F.lit(1)).alias("_n"))
     )
     splits = cut(splits)
-    rank = F.size(F.filter("_splits", lambda s: s < F.col("ord")))
-    parts = F.least(F.ceil(F.col("_n") / max_nodes) + 1, F.lit(_GRID))
+    # a counter that fills m quantiles takes m + 1 places; groups that need more blocks than places cut each place by hash
+    ties = F.size(F.filter("_splits", lambda s: s == F.col("ord")))
+    rank = F.size(F.filter("_splits", lambda s: s < F.col("ord"))) + F.pmod(F.xxhash64("id"), ties + 1)
+    parts = F.ceil(F.col("_n") / max_nodes) + 1
+    deep = F.ceil(parts / _GRID)
+    place = rank * deep + F.pmod(F.xxhash64("id", F.lit(1)), deep)
     # the table of cut groups has a row for every max_nodes nodes at most; AQE broadcasts it if it is small
     cut_nodes = (
         nodes.join(splits, "g")
-        .withColumn("blk_no", F.floor(rank * parts / _GRID).cast("int"))
+        .withColumn("blk_no", F.floor(place * parts / (deep * _GRID)).cast("int"))
         .withColumn("blk", F.concat(F.lit("c"), F.col("g"), F.lit(":"), F.col("blk_no").cast("string")))
         .drop("_splits", "_n")
     )
@@ -64,7 +70,7 @@ def crossing(cut_nodes: DataFrame) -> DataFrame:
 _FLAGS = "g string, id string, flag boolean"
 
 
-def _close_block(pdf: pd.DataFrame, ext: pd.DataFrame | None, mode: str) -> pd.DataFrame:
+def _close_block(pdf: pd.DataFrame, ext: pd.DataFrame | None, mode: str, carried: list[str]) -> pd.DataFrame:
     g, ids = pdf["g"].to_numpy(object), pdf["id"].to_numpy(object)
     n = len(ids)
     child, parent, flat = graphs.index_parents(g, ids, pdf["parents"].tolist())
@@ -81,11 +87,11 @@ def _close_block(pdf: pd.DataFrame, ext: pd.DataFrame | None, mode: str) -> pd.D
         flag = graphs.reached(n, parent, child, pdf["seed"].to_numpy(bool))
     else:
         flag = graphs.grounded(n, child, parent, outside)
-    return pd.DataFrame({"g": g, "id": ids, "flag": flag})
+    return pd.DataFrame({"g": g, "id": ids, "flag": flag, **{c: pdf[c].to_numpy() for c in carried}})
 
 
-def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_NODES) -> DataFrame:
-    """``g``, ``id``, ``flag`` of every node; parents that aren't nodes of the group are ignored.
+def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_NODES, carry: str = "") -> DataFrame:
+    """``g``, ``id``, ``flag`` and the columns of the schema ``carry`` of every node; parents that aren't nodes of the group are ignored.
 
     ``nodes``: ``g`` string, ``ord`` bigint, ``id`` string (unique in ``g``), ``parents`` array<string>,
     and ``seed`` boolean for the modes ``any`` and ``up``.
@@ -100,33 +106,36 @@ def close(nodes: DataFrame, sizing: DataFrame, mode: str, max_nodes: int = MAX_N
     """
     whole, parts, n_blocks = assign(nodes, sizing, max_nodes)
 
+    carried = [c.split()[0] for c in carry.split(", ") if c]
+    flags = ", ".join(filter(None, (_FLAGS, carry)))
+
     def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _close_block(pdf, None, mode)
+        return _close_block(pdf, None, mode, carried)
 
     def with_ext(pdf: pd.DataFrame, ext: pd.DataFrame) -> pd.DataFrame:
-        return _close_block(pdf, ext, mode)
+        return _close_block(pdf, ext, mode, carried)
 
-    used = ["g", "id", "parents", *([] if mode == "all" else ["seed"]), "blk"]
-    out = whole.select(*used).repartition(n_blocks, "blk").groupBy("blk").applyInPandas(alone, _FLAGS)
+    used = [*dict.fromkeys(["g", "id", "parents", *([] if mode == "all" else ["seed"]), "blk", *carried])]
+    out = whole.select(*used).repartition(n_blocks, "blk").groupBy("blk").applyInPandas(alone, flags)
     if parts is None:
         return out
     parts = cut(parts.select(*used))
     if mode == "up":
-        return out.unionByName(_climb(parts, alone))
+        return out.unionByName(_climb(parts, alone, flags))
     ext = cut(crossing(parts).toDF("g", "blk", "id"))
     waits = ext.select("g", "id").distinct()
     facts, known = waits.limit(0), 0
     while True:
         told = ext.join(facts.withColumn("flag", F.lit(True)), ["g", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
         told = told.toDF(*told.columns)
-        step = parts.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(with_ext, _FLAGS)
+        step = parts.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(with_ext, flags)
         facts = cut(step.where("flag").join(waits, ["g", "id"], "left_semi").select("g", "id"))
         if (now := facts.count()) == known:
             return out.unionByName(step)
         known = now
 
 
-def _climb(parts: DataFrame, alone) -> DataFrame:
+def _climb(parts: DataFrame, alone, flags: str) -> DataFrame:
     """Mode ``up`` over cut groups: parents in other blocks become seeds of the next pass."""
     home = parts.select("g", "id", F.col("blk").alias("home"))
     links = parts.select("g", "blk", F.col("id").alias("child"), F.explode("parents").alias("id"))
@@ -134,7 +143,7 @@ def _climb(parts: DataFrame, alone) -> DataFrame:
     told, known = across.select("g", "id").limit(0), 0
     while True:
         seeded = parts.join(told.withColumn("_t", F.lit(True)), ["g", "id"], "left").withColumn("seed", F.col("seed") | F.col("_t").isNotNull())
-        step = seeded.drop("_t").groupBy("blk").applyInPandas(alone, _FLAGS)
+        step = seeded.drop("_t").groupBy("blk").applyInPandas(alone, flags)
         up = step.where("flag").select("g", F.col("id").alias("child"))
         told = cut(across.join(up, ["g", "child"], "left_semi").select("g", "id").distinct())
         if (now := told.count()) == known:

@@ -56,6 +56,24 @@ def keep_first(changes: DataFrame) -> DataFrame:
     return kept.select(*[F.col("hash") if c == "hash" else F.col("row").getField(c).alias(c) for c in changes.columns])
 
 
+def with_hashes(changes: DataFrame) -> DataFrame:
+    """Every delivery in clean form, those without a hash with that of the change they belong to (null if it has none).
+
+    Only deliveries that share ``doc_id``, ``actor`` and ``seq`` with one without a hash are looked at.
+    """
+    c = clean_changes(changes)
+    named, bare = c.where(F.col("hash").isNotNull()), c.where(F.col("hash").isNull())
+    wanted = bare.select(*_NATURAL).dropna().distinct()
+    owner = (
+        named.select("delivery_id", "hash", *_NATURAL)
+        .join(wanted, _NATURAL, "left_semi")
+        .groupBy(*_NATURAL)
+        .agg(F.min_by("hash", F.struct("delivery_id", "hash")).alias("_owner"))
+    )
+    found = bare.join(owner, _NATURAL, "left").withColumn("hash", F.col("_owner")).select(*c.columns)
+    return named.unionByName(found)
+
+
 def further_copies(changes: DataFrame) -> DataFrame:
     """``delivery_id`` of every delivery of a change after its first."""
     kept = keep_first(changes.select("delivery_id", "hash", *_NATURAL)).select("delivery_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from ..sources.tables import ROOT, clean_changes, clean_op, id_text
 from .blocks import MAX_NODES, assign, close, forest
+from .delivery import with_hashes
 
 _MAKES = (0, 2, 4, 6)
 
@@ -33,8 +34,13 @@ def object_links(ops: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def change_links(changes: DataFrame) -> DataFrame:
-    """``g``, ``ord``, ``id`` (hash), ``parents`` of every change with a hash; copies give one row with all their deps."""
-    c = clean_changes(changes.select("doc_id", "hash", "start_op", "deps")).where(F.col("hash").isNotNull())
+    """``g``, ``ord``, ``id`` (hash), ``parents`` of every change with a hash; copies give one row with all their deps.
+
+    Copies without a hash count too, unless ``changes`` are distinct ones (without a ``delivery_id``).
+    """
+    deliveries = "delivery_id" in changes.columns
+    used = ["doc_id", "hash", "start_op", "deps", *(["delivery_id", "actor", "seq"] if deliveries else [])]
+    c = (with_hashes if deliveries else clean_changes)(changes.select(*used)).where(F.col("hash").isNotNull())
     return c.groupBy(F.col("doc_id").cast("string").alias("g"), F.col("hash").alias("id")).agg(
         F.min("start_op").alias("ord"), F.array_distinct(F.flatten(F.collect_set("deps"))).alias("parents")
     )

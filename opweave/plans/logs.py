@@ -142,12 +142,35 @@ WHERE target_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = r.d
 UNION ALL
 SELECT 'ops', doc_id, op.ctr || '@' || op.actor, CASE WHEN t.ctr = 0 THEN '_root' ELSE t.ctr || '@' || t.actor END FROM x
 WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.doc_id = x.doc_id AND y.op = x.t)""",
+    "p5_report": f"""WITH RECURSIVE {_IDENTITY},
+cr AS (SELECT 'changes' AS tbl, doc_id, full_hash AS id, {_CLEAN.format('d')} AS target, delivery_id FROM (SELECT doc_id, full_hash, unnest(deps) AS d, delivery_id FROM ident)),
+oref AS (SELECT 'ops' AS tbl, doc_id, op.ctr || '@' || op.actor AS id, t.ctr || '@' || t.actor AS target, delivery_id FROM (SELECT doc_id, op, unnest(pred) AS t, delivery_id FROM ops)),
+r AS (SELECT * FROM cr WHERE target IS NOT NULL UNION ALL SELECT * FROM oref),
+nodes AS (SELECT 'changes' AS tbl, doc_id, full_hash AS id, min(delivery_id) AS first_id FROM ident WHERE full_hash IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT 'ops', doc_id, op.ctr || '@' || op.actor, min(delivery_id) FROM ops GROUP BY ALL),
+known AS (SELECT tbl, doc_id, id FROM nodes UNION SELECT 'changes', doc_id, {_CLEAN.format('hash')} FROM archive_hashes),
+orphan AS (SELECT tbl, doc_id, id, target, min(delivery_id) AS first_id FROM r WHERE NOT EXISTS (SELECT 1 FROM known AS k WHERE (k.tbl, k.doc_id, k.id) = (r.tbl, r.doc_id, r.target)) GROUP BY ALL),
+link AS (SELECT DISTINCT tbl, doc_id, id, target FROM r WHERE id IS NOT NULL),
+bad AS (SELECT DISTINCT tbl, doc_id, id FROM orphan WHERE id IS NOT NULL UNION SELECT link.tbl, link.doc_id, link.id FROM link JOIN bad ON (bad.tbl, bad.doc_id, bad.id) = (link.tbl, link.doc_id, link.target)),
+direct AS (SELECT tbl, doc_id, id, min(first_id) AS first_id FROM orphan WHERE id IS NOT NULL GROUP BY ALL),
+inherited AS (SELECT bad.*, nodes.first_id FROM bad JOIN nodes USING (tbl, doc_id, id) WHERE NOT EXISTS (SELECT 1 FROM direct AS x WHERE (x.tbl, x.doc_id, x.id) = (bad.tbl, bad.doc_id, bad.id))),
+counted AS (SELECT tbl, first_id, 1 AS r, 0 AS d, 0 AS i FROM orphan UNION ALL SELECT tbl, first_id, 0, 1, 0 FROM direct UNION ALL SELECT tbl, first_id, 0, 0, 1 FROM inherited)
+SELECT tbl AS ref_table, date_trunc('week', received_at)::DATE AS period, sum(r)::BIGINT AS n_references, sum(d)::BIGINT AS n_direct, sum(i)::BIGINT AS n_inherited
+FROM counted LEFT JOIN changes ON delivery_id = first_id GROUP BY ALL""",
     "p6_found": f"{_SESSIONS} FROM s GROUP BY actor, no",
     "p6_sessions": f"{_SESSIONS}, max(time_ms) - min(time_ms) AS duration_ms, count(*) AS n_events FROM s GROUP BY actor, no",
-    "p7_found": f"""WITH RECURSIVE {_CH},
+    "p7_objects": """WITH RECURSIVE made AS (SELECT doc_id, op, obj FROM ops WHERE op_action IN (0, 2, 4, 6) UNION ALL SELECT doc_id, op, obj FROM base_objects),
+n AS (SELECT doc_id, op.ctr || '@' || op.actor AS id, op.ctr AS ctr, min(obj) AS up FROM made GROUP BY doc_id, op),
+m AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY ctr, id)::INT AS no, CASE WHEN up.ctr > 0 THEN up.ctr || '@' || up.actor END AS up FROM n),
+t AS (SELECT doc_id, id, no, id AS root_id, [no] AS path FROM m WHERE up IS NULL OR NOT EXISTS (SELECT 1 FROM m AS x WHERE (x.doc_id, x.id) = (m.doc_id, m.up))
+      UNION ALL SELECT m.doc_id, m.id, m.no, t.root_id, list_append(t.path, m.no) FROM m JOIN t ON (t.doc_id, t.id) = (m.doc_id, m.up)),
+b AS (SELECT doc_id, no, count(*) - 1 AS n_descendants FROM (SELECT doc_id, unnest(path) AS no FROM t) GROUP BY ALL)
+SELECT doc_id, id AS node_id, no AS node_no, root_id, len(path)::BIGINT AS depth, path, n_descendants, false AS on_loop FROM t JOIN b USING (doc_id, no)
+UNION ALL SELECT doc_id, id, NULL, NULL, -1, NULL, NULL, true FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE (t.doc_id, t.id) = (m.doc_id, m.id))""",
+    "p7_found": f"""WITH RECURSIVE {_IDENTITY},
 e AS (SELECT 'obj' AS k, doc_id, op.ctr || '@' || op.actor AS id, obj.ctr || '@' || obj.actor AS up FROM ops WHERE op_action IN (0, 2, 4, 6)
       UNION SELECT 'obj', doc_id, op.ctr || '@' || op.actor, obj.ctr || '@' || obj.actor FROM base_objects
-      UNION SELECT 'change', doc_id, hash, {_CLEAN.format('d')} FROM (SELECT doc_id, hash, unnest(deps) AS d FROM ch WHERE hash IS NOT NULL)),
+      UNION SELECT 'change', doc_id, hash, {_CLEAN.format('d')} FROM (SELECT doc_id, full_hash AS hash, unnest(deps) AS d FROM ident WHERE full_hash IS NOT NULL)),
 l AS (SELECT e.* FROM e WHERE EXISTS (SELECT 1 FROM e AS x WHERE (x.k, x.doc_id, x.id) = (e.k, e.doc_id, e.up))
       OR (e.k = 'change' AND EXISTS (SELECT 1 FROM ch WHERE (ch.doc_id, ch.hash) = (e.doc_id, e.up)))),
 up AS (SELECT k, doc_id, id, up FROM l UNION SELECT up.k, up.doc_id, up.id, l.up FROM up JOIN l ON (l.k, l.doc_id, l.id) = (up.k, up.doc_id, up.up)),

@@ -142,3 +142,13 @@ def test_element_order(spark, max_nodes):
             at += 1
         want.insert(at, x[1])
     assert got == want
+
+
+def test_no_block_grows_with_its_group(spark):
+    """Many nodes with one counter, and groups that need more blocks than there are quantiles."""
+    for n in (3000, 12_000):
+        rows = [("g", 7 if i % 3 else i, f"n{i}") for i in range(n)] + [("small", 1, "x")]
+        df = spark.createDataFrame(rows, "g string, ord bigint, id string")
+        whole, parts, _ = blocks.assign(df, df.select("g", "ord"), max_nodes=8 if n < 5000 else 100)
+        largest = max(r["count"] for r in parts.groupBy("blk").count().collect())
+        assert whole.count() == 1 and parts.count() == n and largest <= (8 * 6 if n < 5000 else 100 * 3)

@@ -158,10 +158,12 @@ def test_orphans_direct_and_inherited(spark):
     archive = spark.createDataFrame([(1, "old")], ARCHIVE)
     got = {tuple(r) for r in orphans.orphan_references(c, o, archive).collect()}
     assert got == {("changes", 1, "b", "gone"), ("changes", 2, "f", "a"), ("ops", 1, "2@x", "9@q")}
-    cascade = {(r.ref_table, r.record_id, r.direct) for r in orphans.orphan_cascade(c, o, archive).collect()}
+    cascade = {(r.ref_table, r.record_id, r.level == 0) for r in orphans.orphan_cascade(c, o, archive).collect()}
     assert cascade == {("changes", "b", True), ("changes", "c", False), ("changes", "d", False), ("changes", "f", True), ("ops", "2@x", True), ("ops", "3@x", False)}
     report = orphans.orphan_report(c, o, archive).collect()
-    assert {(r.ref_table, r.n_direct, r.n_inherited) for r in report} == {("changes", 2, 2), ("ops", 1, 1)}
+    assert {(r.ref_table, r.n_references, r.n_direct, r.n_inherited) for r in report} == {("changes", 2, 2, 2), ("ops", 1, 1, 1)}
+    nameless = changes(spark, [(1, 1, None, "x", 1, ["gone", "lost"])])
+    assert {tuple(r)[2:] for r in orphans.orphan_report(nameless, o.limit(0)).collect()} == {(2, 0, 0)}
     assert orphans.orphan_references(c.limit(0), o.limit(0), archive.limit(0)).count() == 0
 
 
