@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import words
 
 MIN_WORDS = 8
 SHARD_WORDS = 1_000_000
 ITEMS_PER_BLOCK = 20_000
+HITS_AT_ONCE = 1_000_000
 
 _MATCHES = "item_id bigint, side string, n_words int, item_word int, doc_word int"
 
@@ -100,8 +102,38 @@ class Passages:
         return self.codes[self.start[:, None] + np.arange(self.least)[None, :]]
 
 
+def _stretches(hits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of patterns with hits, of about ``HITS_AT_ONCE`` hits each."""
+    total = np.concatenate([[0], np.cumsum(hits)])
+    a = 0
+    while a < len(hits) and total[-1] > total[a]:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + HITS_AT_ONCE, side="right")) - 1)
+        if total[b] > total[a]:
+            yield a, b
+        a = b
+
+
+def _maximal(p: Passages, codes, doc, word, order, lo, hi, first: int) -> pd.DataFrame:
+    """The matches of patterns from number ``first`` that can't be made longer to the left, as long as they go to the right."""
+    hits = hi - lo
+    q = np.repeat(np.arange(len(lo)), hits)
+    pos = order[np.repeat(lo, hits) + np.arange(len(q)) - np.repeat(np.cumsum(hits) - hits, hits)]
+    q = q + first
+    inner = (p.offset[q] > 0) & (pos > 0)
+    inner[inner] = codes[pos[inner] - 1] == p.codes[p.start[q[inner]] - 1]
+    q, pos = q[~inner], pos[~inner]
+    n = np.full(len(q), p.least, dtype=np.int64)
+    live = np.arange(len(q))
+    while len(live):  # lengthen every match as far as it goes
+        more = (n[live] < p.left[q[live]]) & (pos[live] + n[live] < len(codes))
+        live = live[more]
+        live = live[codes[pos[live] + n[live]] == p.codes[p.start[q[live]] + n[live]]]
+        n[live] += 1
+    return pd.DataFrame({"doc": doc[pos], "text": p.text[q], "n_words": n, "item_word": p.offset[q], "doc_word": word[pos]})
+
+
 def _shard_matches(p: Passages, doc_ids: list, texts: list[list[str]]) -> pd.DataFrame:
-    """All longest matches of one shard of the corpus."""
+    """All matches of one shard of the corpus that can't be made longer."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.array([w for t in texts for w in t], dtype=object)
     none = pd.DataFrame({c.split()[0]: [] for c in f"doc_id any, {_MATCHES}".split(", ")})
@@ -121,21 +153,10 @@ def _shard_matches(p: Passages, doc_ids: list, texts: list[list[str]]) -> pd.Dat
     codes, doc, word = (np.insert(x[keep], borders, fill) for x, fill in ((codes, -1), (doc, -1), (word, -1)))
     order = suffix_array(codes, p.depth)
     lo, hi = search(codes, order, p.patterns())
-    hits = hi - lo
-    q = np.repeat(np.arange(len(lo)), hits)
-    if not len(q):
+    parts = [_maximal(p, codes, doc, word, order, lo[a:b], hi[a:b], a) for a, b in _stretches(hi - lo)]
+    found = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"doc": []})
+    if not len(found):
         return none
-    pos = order[np.repeat(lo, hits) + np.arange(len(q)) - np.repeat(np.cumsum(hits) - hits, hits)]
-    n = np.full(len(q), p.least, dtype=np.int64)
-    live = np.arange(len(q))
-    while len(live):  # lengthen every match as far as it goes
-        more = (n[live] < p.left[q[live]]) & (pos[live] + n[live] < len(codes))
-        live = live[more]
-        live = live[codes[pos[live] + n[live]] == p.codes[p.start[q[live]] + n[live]]]
-        n[live] += 1
-    found = pd.DataFrame({"doc": doc[pos], "text": p.text[q], "n_words": n, "item_word": p.offset[q], "doc_word": word[pos]})
-    found = found.sort_values(["doc", "text", "n_words", "item_word", "doc_word"], ascending=[True, True, False, True, True])
-    found = found.drop_duplicates(["doc", "text"]).reset_index(drop=True)
     owner = [p.owner[t] for t in found["text"]]
     return pd.DataFrame(
         {
@@ -157,22 +178,24 @@ def _batch(found: pd.DataFrame, id_kind: pa.DataType) -> pa.RecordBatch:
 def leaked_passages(
     documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """The longest verbatim match of each document with each side of each item, of ``least`` words or more.
+    """Every verbatim match of documents with a side of an item, of ``least`` words or more, that can't be made longer.
 
     ``documents``: ``doc_id``, ``text``.  ``items``: ``item_id``, ``src_text``, ``ref_text``.  Returns ``doc_id``,
     ``item_id``, ``side``, ``n_words``, and the first word of the match in the item and in the document.
     Case, accents, punctuation, white space and invisible characters don't matter.  Null and empty
     texts match nothing; sides of fewer than ``least`` words can't leak.
 
-    The corpus is read once per block of ``ITEMS_PER_BLOCK`` items, which bounds what a worker holds of
-    the items.  Workers gather whole documents to shards of about ``shard_words`` words, build each
+    The corpus is read once per block of ``ITEMS_PER_BLOCK`` items, which bounds what the driver and a worker
+    hold of the items: where there are several blocks, each is run and its matches written before the next is
+    read.  Workers gather whole documents to shards of about ``shard_words`` words, build each
     shard's suffix array and look up every suffix of every item by binary search.  Nothing is shuffled.
     """
     n_items = items.count()
     id_kind = documents.select("doc_id").schema[0].dataType.simpleString()
     out = None
+    n_blocks = max(1, -(-n_items // ITEMS_PER_BLOCK))
     rows = items.select("item_id", "src_text", "ref_text").orderBy("item_id").toLocalIterator()
-    for _ in range(max(1, -(-n_items // ITEMS_PER_BLOCK))):
+    for _ in range(n_blocks):
         block = [tuple(r) for _, r in zip(range(ITEMS_PER_BLOCK), rows)]
 
         def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -193,10 +216,19 @@ def leaked_passages(
                 yield _batch(_shard_matches(passages, ids, texts), kind)
 
         part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(match, f"doc_id {id_kind}, {_MATCHES}")
+        part = cut(part) if n_blocks > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def longest_matches(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The longest of :func:`leaked_passages` for each document and side of an item (of equal ones the first in the item, then in the document)."""
+    place = F.struct("n_words", "item_word", "doc_word")
+    order = F.struct(F.col("n_words"), -F.col("item_word"), -F.col("doc_word"))
+    best = leaked_passages(documents, items, least).groupBy("doc_id", "item_id", "side").agg(F.max_by(place, order).alias("_best"))
+    return best.select("doc_id", "item_id", "side", "_best.*")
+
+
 def leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``item_id`` of every document that holds a passage of an item."""
     return leaked_passages(documents, items, least).select("doc_id", "item_id").distinct()

@@ -114,16 +114,18 @@ def pack(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     docs_per_shard: int = DOCS_PER_SHARD,
+    n_items: int | None = None,
 ) -> DataFrame:
     """``id``, ``piece_no``, ``container_id``, ``start`` (in the container), ``n_tokens``: every item in containers of ``capacity``.
 
     Items are dealt to shards by the hash of their id and packed there in the order of ids as text, so the
     result doesn't depend on how the input was split.  A shard leaves at most ``open_bins``
-    containers open; the share of these falls with ``docs_per_shard``.  Items of size 0 (or null) take
+    containers open; the share of these falls with ``docs_per_shard``.  ``n_items`` is how many there are, if
+    that is known more cheaply than by counting ``items``, which may tokenise every text for it.  Items of size 0 (or null) take
     no room but get a place.  ``container_id`` is the shard times 2^32 plus a number in the shard.
     """
     kind = items.select(id).schema[0].dataType.simpleString()
-    shards = max(1, -(-items.count() // docs_per_shard))
+    shards = max(1, -(-(items.count() if n_items is None else n_items) // docs_per_shard))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable", ignore_index=True)

@@ -30,8 +30,9 @@ def p4_merged_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
-    sizes = packing.count_tokens(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
-    return packing.pack(sizes, "doc_id", "n_tokens")
+    documents = table(spark, d, "documents")
+    sizes = packing.count_tokens(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return packing.pack(sizes, "doc_id", "n_tokens", n_items=documents.count())
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +54,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(*_pair(spark, d))
 
 
-def p9_longest_matches(spark: SparkSession, d: str) -> DataFrame:
+def p9_locations(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_passages(*_pair(spark, d))
 
 
+def p9_longest_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.longest_matches(*_pair(spark, d))
+
+
 def p9_clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(*_pair(spark, d)).select("doc_id", "n_chars")
 
@@ -78,7 +83,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_error_rate, p4_merged_filters, p8_assignments, p8_fill, p9_found, p9_longest_matches, p9_clean_documents,
+        p4_found, p4_error_rate, p4_merged_filters, p8_assignments, p8_fill, p9_found, p9_locations, p9_longest_matches, p9_clean_documents,
         p10_found, p10_scores, p10_rates,
     )
 }

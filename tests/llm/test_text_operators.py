@@ -71,21 +71,18 @@ def test_suffix_array(codes):
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=25), max_size=6), st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5), st.integers(1, 4))
 def test_matches_are_all_and_longest(docs, items, least):
     p = leaks.Passages([(k, " ".join(w), None) for k, w in enumerate(items)], least)
-    got = {(r.doc_id, r.item_id): (r.n_words, r.item_word, r.doc_word) for r in leaks._shard_matches(p, list(range(len(docs))), docs).itertuples()}
+    got = [(r.doc_id, r.item_id, r.n_words, r.item_word, r.doc_word) for r in leaks._shard_matches(p, list(range(len(docs))), docs).itertuples()]
+    want = set()
     for d, doc in enumerate(docs):
         for k, item in enumerate(items):
-            best = 0
             for a in range(len(doc)):
                 for b in range(len(item)):
                     n = 0
                     while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n]:
                         n += 1
-                    best = max(best, n)
-            if best < least:
-                assert (d, k) not in got
-            else:
-                n, b, a = got[(d, k)]
-                assert n == best and doc[a : a + n] == item[b : b + n]
+                    if n >= least and not (a and b and doc[a - 1] == item[b - 1]):
+                        want.add((d, k, n, b, a))
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_leaks_in_tables(spark):
