@@ -67,17 +67,18 @@ def current_state(after: DataFrame) -> DataFrame:
 
 
 def apply_patches(state: DataFrame, patches: DataFrame) -> DataFrame:
-    """``doc_id``, ``obj_id``, ``reg``, ``value``, ``conflict`` of ``state`` (as :func:`state.get` gives it) after ``patches``."""
+    """``doc_id``, ``obj_id``, ``reg``, ``kind``, ``value``, ``conflict`` of ``state`` (as :func:`state.get` gives it) after ``patches``."""
     key = ["doc_id", "obj_id", "reg"]
-    s = state.select(*key, F.struct("value", "conflict").alias("s"))
-    p = patches.select(*key, F.struct("action", "value", "conflict").alias("p"))
+    s = state.select(*key, F.struct("kind", "value", "conflict").alias("s"))
+    p = patches.select(*key, F.struct("action", "kind", "value", "conflict").alias("p"))
     j = s.join(p, key, "full_outer").where(F.col("p").isNull() | (F.col("p.action") != "delete"))
     new = F.col("p.action").isin("put", "increment")
-    return j.select(*key, F.when(new, F.col("p.value")).otherwise(F.col("s.value")).alias("value"), F.coalesce("p.conflict", "s.conflict").alias("conflict"))
+    kind = F.when(F.col("p.action") == "put", F.col("p.kind")).otherwise(F.col("s.kind"))
+    return j.select(*key, kind.alias("kind"), F.when(new, F.col("p.value")).otherwise(F.col("s.value")).alias("value"), F.coalesce("p.conflict", "s.conflict").alias("conflict"))
 
 
 def list_diff(before: DataFrame, after: DataFrame, order: DataFrame) -> DataFrame:
-    """Sequence patches in order: ``doc_id``, ``obj_id``, ``patch_no``, ``action`` (``insert``, ``delete``, ``put``), ``idx``, ``value``.
+    """Sequence patches in order: ``doc_id``, ``obj_id``, ``patch_no``, ``action`` (``insert``, ``delete``, ``put``), ``idx``, ``kind``, ``value``.
 
     Read from the first element on: ``idx`` is the place in the new state at which the element is
     inserted or put, or from which one is deleted, as elements before it are already as in the new.
@@ -95,7 +96,7 @@ def list_diff(before: DataFrame, after: DataFrame, order: DataFrame) -> DataFram
     )
     rows = both.withColumns({"idx": idx, "action": action}).where(F.col("action").isNotNull())
     return rows.withColumn("patch_no", F.row_number().over(w).cast("bigint")).select("doc_id", "obj", "patch_no", "action", "idx", "a.*").select(
-        "doc_id", id_text("obj").alias("obj_id"), "patch_no", "action", "idx", _value()
+        "doc_id", id_text("obj").alias("obj_id"), "patch_no", "action", "idx", _kind(), _value()
     )
 
 

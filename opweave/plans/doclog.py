@@ -55,10 +55,10 @@ def state_then(spark: SparkSession, d: str) -> DataFrame:
     return state.visible_ops(ops(spark, d), graph.clock(c, middle_version(c)))
 
 
-def portable(df: DataFrame, kind: str = "kind", value: str = "value") -> DataFrame:
-    """Doubles in thousandths, as engines write them differently."""
-    thousandths = F.round(F.col(value).cast("double") * 1000).cast("bigint").cast("string")
-    return df.withColumn(value, F.when(F.col(kind) == "f64", thousandths).otherwise(F.col(value)))
+def typed(df: DataFrame) -> DataFrame:
+    """With doubles in the column ``real`` instead of as text in ``value``."""
+    is_real = F.coalesce(F.col("kind") == "f64", F.lit(False))
+    return df.withColumn("real", F.when(is_real, F.col("value").cast("double"))).withColumn("value", F.when(~is_real, F.col("value")))
 
 
 # SQL shared by the queries' counterparts
@@ -88,8 +88,8 @@ _COVER = "WHERE EXISTS (SELECT 1 FROM clk WHERE clk.doc_id = ops.doc_id AND clk.
 _THEN = _VIS.format(p="b", cover=_COVER)
 _KIND = "CASE op_action WHEN 0 THEN 'map' WHEN 2 THEN 'list' WHEN 4 THEN 'text' WHEN 6 THEN 'table' ELSE val.tag END"
 _VALUE = """CASE op_action WHEN 0 THEN 'map' WHEN 2 THEN 'list' WHEN 4 THEN 'text' WHEN 6 THEN 'table' ELSE
-  coalesce(n::VARCHAR, val.i::VARCHAR, val.u::VARCHAR, val.s, round(val.d * 1000)::BIGINT::VARCHAR, val.flag::VARCHAR, lower(hex(val.b))) END"""
-_ROW = f"SELECT doc_id, {_OBJ} AS obj_id, reg, {_OPID} AS op_id, {_KIND} AS kind, {_VALUE} AS value"
+  coalesce(n::VARCHAR, val.i::VARCHAR, val.u::VARCHAR, val.s, val.flag::VARCHAR, lower(hex(val.b))) END"""
+_ROW = f"SELECT doc_id, {_OBJ} AS obj_id, reg, {_OPID} AS op_id, {_KIND} AS kind, {_VALUE} AS value, val.d AS real"
 _SEQ = """ins AS (SELECT DISTINCT doc_id, obj, op, elem FROM ops WHERE is_insert AND elem IS NOT NULL),
 tree AS (SELECT doc_id, obj, op, [{'c': -op.ctr, 'a': translate(op.actor, '0123456789abcdef', 'fedcba9876543210')}] AS path FROM ins WHERE elem.ctr = 0
   UNION ALL SELECT i.doc_id, i.obj, i.op, list_append(t.path, {'c': -i.op.ctr, 'a': translate(i.op.actor, '0123456789abcdef', 'fedcba9876543210')})
@@ -124,15 +124,8 @@ def graph_changes_since(spark, d):
     return graph.changes_since(c, middle_version(c)).select("doc_id", "hash", "actor", "seq")
 
 
-@query(f"{_HIST} SELECT doc_id, hash FROM c WHERE seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM c AS x WHERE x.seq % 3 > 0 AND (x.doc_id, x.hash) = (c.doc_id, c.hash))")
-def graph_changes_added(spark, d):
-    """Of two replicas that each hold part of the history, what one has and the other hasn't."""
-    c = changes(spark, d)
-    return graph.changes_added(c.where(F.col("seq") % 3 > 0), c.where(F.col("seq") % 2 == 0)).select("doc_id", "hash")
-
-
 @query(f"{_HIST} SELECT doc_id, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM anc WHERE (anc.doc_id, anc.hash) = (c.doc_id, c.hash))")
-def graph_changes_added_whole(spark, d):
+def graph_changes_added(spark, d):
     """Of a replica that stopped at the middle version and the whole history, what the whole one has and the stopped one hasn't."""
     c = cut(changes(spark, d).select("doc_id", "hash", "start_op", "deps"))
     return graph.changes_added(replica_then(c), c).select("doc_id", "hash")
@@ -206,27 +199,27 @@ def graph_merge_commits(spark, d):
 
 @query(f"WITH {_NOW} {_ROW}, n_values > 1 AS conflict FROM win")
 def state_get(spark, d):
-    return portable(state.get(state_now(spark, d)))
+    return typed(state.get(state_now(spark, d)))
 
 
 @query(f"{_HIST}, {_THEN} {_ROW}, n_values > 1 AS conflict FROM bwin")
 def state_get_at(spark, d):
-    return portable(state.get(state_then(spark, d)))
+    return typed(state.get(state_then(spark, d)))
 
 
 @query(f"WITH {_NOW} {_ROW} FROM vis")
 def state_get_all(spark, d):
-    return portable(state.get_all(state_now(spark, d)))
+    return typed(state.get_all(state_now(spark, d)))
 
 
 @query(f"{_HIST}, {_THEN} {_ROW} FROM bvis QUALIFY count(*) OVER (PARTITION BY doc_id, obj, reg) > 1")
 def state_conflicts_at(spark, d):
-    return portable(state.conflicts(state_then(spark, d)))
+    return typed(state.conflicts(state_then(spark, d)))
 
 
 @query(f"WITH {_NOW} {_ROW} FROM vis QUALIFY count(*) OVER (PARTITION BY doc_id, obj, reg) > 1")
 def state_conflicts(spark, d):
-    return portable(state.conflicts(state_now(spark, d)))
+    return typed(state.conflicts(state_now(spark, d)))
 
 
 @query(f"WITH {_NOW} SELECT doc_id, {_OBJ} AS obj_id, reg, {_OPID} AS op_id, n FROM vis WHERE n IS NOT NULL")
@@ -246,7 +239,7 @@ def state_keys(spark, d):
 
 @query(f"WITH {_NOW} {_ROW}, n_values > 1 AS conflict FROM win WHERE elem IS NULL AND reg >= 'c' AND reg < 't'")
 def state_map_range(spark, d):
-    return portable(state.map_range(state_now(spark, d), "c", "t"))
+    return typed(state.map_range(state_now(spark, d), "c", "t"))
 
 
 @query(f"WITH {_NOW} SELECT doc_id, {_OBJ} AS obj_id, count(*) AS length FROM win GROUP BY doc_id, obj")
@@ -289,9 +282,9 @@ def state_paths(spark, d):
 
 @query(f"""WITH RECURSIVE {_NOW}, {_SEQ},
 x AS (SELECT win.*, pos FROM win LEFT JOIN pos ON (pos.doc_id, pos.obj, pos.elem) = (win.doc_id, win.obj, win.elem) WHERE win.elem IS NULL OR pos IS NOT NULL)
-SELECT doc_id, {_OBJ} AS obj_id, row_number() OVER (PARTITION BY doc_id, obj ORDER BY pos NULLS FIRST, reg) - 1 AS item_no, reg, {_KIND} AS kind, {_VALUE} AS value FROM x""")
+SELECT doc_id, {_OBJ} AS obj_id, row_number() OVER (PARTITION BY doc_id, obj ORDER BY pos NULLS FIRST, reg) - 1 AS item_no, reg, {_KIND} AS kind, {_VALUE} AS value, val.d AS real FROM x""")
 def state_iterate(spark, d):
-    return portable(state.iterate(state_now(spark, d), sequence.element_order(ops(spark, d))))
+    return typed(state.iterate(state_now(spark, d), sequence.element_order(ops(spark, d))))
 
 
 # ---- sequences
@@ -307,7 +300,7 @@ l AS (SELECT win.*, row_number() OVER (PARTITION BY win.doc_id, win.obj ORDER BY
 {_ROW}, idx FROM l WHERE idx BETWEEN 1 AND 7""")
 def seq_list_range(spark, d):
     rows = sequence.list_range(state.winners(state_now(spark, d)), sequence.element_order(ops(spark, d)), 1, 8)
-    return portable(rows.select("doc_id", id_text("obj").alias("obj_id"), "reg", id_text("op").alias("op_id"), state._kind(), state._value(), "idx"))
+    return typed(rows.select("doc_id", id_text("obj").alias("obj_id"), "reg", id_text("op").alias("op_id"), state._kind(), state._value(), "idx"))
 
 
 _CURSORS = f"""WITH RECURSIVE {_NOW}, {_SEQ},
@@ -397,10 +390,10 @@ def text_spans(spark, d):
 j AS (SELECT coalesce(win.doc_id, b.doc_id) AS doc_id, coalesce(win.obj, b.obj) AS obj, coalesce(win.reg, b.reg) AS reg, win.op, b.op AS old_op, win.op_action, win.val, win.n, b.n AS old_n,
   win.n_values > 1 AS conflict, b.n_values > 1 AS old_conflict FROM win FULL JOIN bwin AS b ON (b.doc_id, b.obj, b.reg) = (win.doc_id, win.obj, win.reg)),
 a AS (SELECT *, CASE WHEN op IS NULL THEN 'delete' WHEN old_op IS NULL OR op <> old_op THEN 'put' WHEN n <> old_n THEN 'increment' WHEN conflict <> old_conflict THEN 'conflict' END AS action FROM j)
-SELECT doc_id, {_OBJ} AS obj_id, reg, action, CASE WHEN action IN ('put', 'increment') THEN {_VALUE} END AS value, CASE WHEN action = 'put' THEN {_KIND} END AS kind,
+SELECT doc_id, {_OBJ} AS obj_id, reg, action, CASE WHEN action IN ('put', 'increment') THEN {_VALUE} END AS value, CASE WHEN action = 'put' THEN {_KIND} END AS kind, CASE WHEN action = 'put' THEN val.d END AS real,
   CASE WHEN op IS NOT NULL THEN {_OPID} END AS op_id, CASE WHEN action = 'increment' THEN n - old_n END AS delta, conflict FROM a WHERE action IS NOT NULL""")
 def diff_registers(spark, d):
-    return portable(diff.register_diff(state_then(spark, d), state_now(spark, d)))
+    return typed(diff.register_diff(state_then(spark, d), state_now(spark, d)))
 
 
 @query(f"""{_HIST}, {_NOW}, {_THEN}, {_SEQ},
@@ -409,20 +402,18 @@ j AS (SELECT pos.doc_id, pos.obj, pos.pos, win.op, b.op AS old_op, win.op_action
   WHERE win.op IS NOT NULL OR b.op IS NOT NULL),
 a AS (SELECT *, coalesce(sum((op IS NOT NULL)::INT) OVER (PARTITION BY doc_id, obj ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS idx,
   CASE WHEN op IS NULL THEN 'delete' WHEN old_op IS NULL THEN 'insert' WHEN op <> old_op OR n IS DISTINCT FROM old_n THEN 'put' END AS action FROM j)
-SELECT doc_id, {_OBJ} AS obj_id, row_number() OVER (PARTITION BY doc_id, obj ORDER BY pos) AS patch_no, action, idx, CASE WHEN op IS NOT NULL THEN {_VALUE} END AS value
+SELECT doc_id, {_OBJ} AS obj_id, row_number() OVER (PARTITION BY doc_id, obj ORDER BY pos) AS patch_no, action, idx, CASE WHEN op IS NOT NULL THEN {_VALUE} END AS value, CASE WHEN op IS NOT NULL THEN val.d END AS real
 FROM a WHERE action IS NOT NULL""")
 def diff_lists(spark, d):
     rows = diff.list_diff(state_then(spark, d), state_now(spark, d), sequence.element_order(ops(spark, d)))
-    kinds = state.get(state_now(spark, d)).where("kind = 'f64'").select("doc_id", "obj_id", "value", F.lit("f64").alias("kind")).distinct()
-    return portable(rows.join(kinds, ["doc_id", "obj_id", "value"], "left")).drop("kind")
+    return typed(rows).drop("kind")
 
 
-@query(f"WITH {_NOW} SELECT doc_id, {_OBJ} AS obj_id, reg, {_VALUE} AS value, n_values > 1 AS conflict FROM win")
+@query(f"WITH {_NOW} SELECT doc_id, {_OBJ} AS obj_id, reg, {_KIND} AS kind, {_VALUE} AS value, val.d AS real, n_values > 1 AS conflict FROM win")
 def diff_apply(spark, d):
     """The middle version with the patches to the current one applied: the current state."""
     then, now = state_then(spark, d), state_now(spark, d)
-    patches, before = portable(diff.register_diff(then, now)), portable(state.get(then))
-    return diff.apply_patches(before, patches)
+    return typed(diff.apply_patches(state.get(then), diff.register_diff(then, now)))
 
 
 @query()
@@ -440,15 +431,8 @@ def diff_texts(spark, d):
     return diff.coalesce_patches(rows).select("doc_id", "obj_id", "first_no", "action", "idx", "n", F.array_join("values", "").alias("text"))
 
 
-@query(f"{_HIST} SELECT doc_id, hash, actor, seq, start_op, max_op FROM c WHERE seq % 2 = 0 OR seq % 3 = 0")
-def merge_histories(spark, d):
-    """Two replicas that each hold part of the history, merged."""
-    c = changes(spark, d).select("doc_id", "hash", "actor", "seq", "start_op", "max_op")
-    return merge.merge_changes(c.where("seq % 2 = 0"), c.where("seq % 3 = 0"))
-
-
 @query(f"{_HIST} SELECT doc_id, hash, actor, seq, start_op, max_op FROM c")
-def merge_whole_histories(spark, d):
+def merge_histories(spark, d):
     """Two replicas merged: one that stopped at the middle version, one with all changes."""
     c = cut(changes(spark, d).select("doc_id", "hash", "actor", "seq", "start_op", "max_op", "deps"))
     return merge.merge_changes(replica_then(c).drop("deps"), c.drop("deps"))
@@ -456,12 +440,15 @@ def merge_whole_histories(spark, d):
 
 @query("SELECT DISTINCT doc_id, op.ctr AS ctr, op.actor AS actor, op_action::INT AS op_action FROM ops")
 def merge_logs(spark, d):
-    o = ops(spark, d).select("doc_id", "op", F.col("op_action").cast("int").alias("op_action"))
-    return merge.merge_ops(o.where("op.ctr % 2 = 0"), o.where("op.ctr % 3 > 0"), o).select("doc_id", "op.ctr", "op.actor", "op_action")
+    """Two replicas, one that stopped after two thirds of the deliveries and one that joined after a third: together they hold every row."""
+    o = ops(spark, d).select("delivery_id", "doc_id", "op", F.col("op_action").cast("int").alias("op_action"))
+    last = o.agg(F.max("delivery_id")).scalar()
+    early, late = (F.coalesce(x, F.lit(True)) for x in (F.col("delivery_id") * 3 <= last * 2, F.col("delivery_id") * 3 >= last))
+    return merge.merge_ops(*(o.where(x).drop("delivery_id") for x in (early, late))).select("doc_id", "op.ctr", "op.actor", "op_action")
 
 
 @query(f"""{_HIST}, {_NOW}, {_THEN},
-x AS (SELECT doc_id, obj, reg, {_VALUE} AS value, n_values > 1 AS conflict FROM win), y AS (SELECT doc_id, obj, reg, {_VALUE} AS value, n_values > 1 AS conflict FROM bwin),
+x AS (SELECT doc_id, obj, reg, {_VALUE} AS value, val.d AS real, n_values > 1 AS conflict FROM win), y AS (SELECT doc_id, obj, reg, {_VALUE} AS value, val.d AS real, n_values > 1 AS conflict FROM bwin),
 odd AS ((SELECT * FROM x EXCEPT SELECT * FROM y) UNION (SELECT * FROM y EXCEPT SELECT * FROM x))
 SELECT doc_id, NOT EXISTS (SELECT 1 FROM odd WHERE odd.doc_id = v.doc_id) AS same FROM (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM vis UNION SELECT doc_id FROM bvis)) AS v""")
 def merge_same_documents(spark, d):

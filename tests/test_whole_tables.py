@@ -16,8 +16,8 @@ def test_merged_replicas_hold_every_change(spark):
     if not SF.exists():
         pytest.skip("no test tables")
     every = {(r.doc_id, r.hash) for r in doclog.changes(spark, str(SF)).select("doc_id", "hash").collect()}
-    merged = [(r.doc_id, r.hash) for r in entry.queries()["merge_whole_histories"](spark, str(SF)).collect()]
+    merged = [(r.doc_id, r.hash) for r in entry.queries()["merge_histories"](spark, str(SF)).collect()]
     assert len(merged) == len(every) and set(merged) == every
     stopped = {(r.doc_id, r.hash) for r in doclog.replica_then(doclog.changes(spark, str(SF))).select("doc_id", "hash").collect()}
-    added = {(r.doc_id, r.hash) for r in entry.queries()["graph_changes_added_whole"](spark, str(SF)).collect()}
+    added = {(r.doc_id, r.hash) for r in entry.queries()["graph_changes_added"](spark, str(SF)).collect()}
     assert stopped and added == every - stopped
