@@ -18,15 +18,66 @@ def read_deliveries(spark: SparkSession, path: str, schema: StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+class _OneOfEach(StatefulProcessor):
+    """Per identity: which hashes were let through, which of them deliveries without a hash belong to, and whether one of these came first."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hashes = handle.getMapState("hashes", "hash string", "one boolean")
+        self.owner = handle.getValueState("owner", "hash string")
+        self.bare = handle.getValueState("bare", "one boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        frames = [x for x in rows if len(x)]
+        if not frames:
+            yield pd.DataFrame({"full_hash": pd.Series(dtype=object), "whole_row": pd.Series(dtype=object)})
+            return
+        got = pd.concat(frames, ignore_index=True).sort_values("arrived", kind="stable")
+        kept = [self._first(h if isinstance(h, str) else None, bool(whole)) for h, whole in zip(got["full_hash"], got["is_whole"])]
+        yield got.loc[kept, ["full_hash", "whole_row"]]
+
+    def _first(self, h: str | None, whole: bool) -> bool:
+        if h is None:
+            if not whole:
+                return True  # nothing tells it from others: a change of its own
+            if self.owner.exists() or self.bare.exists():
+                return False
+            self.bare.update((True,))
+            return True
+        if self.hashes.containsKey((h,)):
+            return False
+        self.hashes.updateValue((h,), (True,))
+        if self.owner.exists():
+            return True
+        self.owner.update((h,))
+        return not self.bare.exists()
+
+    def close(self) -> None:
+        pass
+
+
 def distinct_deliveries(stream: DataFrame) -> DataFrame:
-    """Each change once, at its first delivery; deliveries without a hash are told apart by document, actor and seq.
+    """Each change once, at its first delivery, by the identity of :func:`opweave.operators.delivery.first_deliveries`.
+
+    A delivery without a hash is the change with the same ``doc_id``, ``actor`` and ``seq``, whichever came first; one
+    without a hash of which one of these is null is let through.  State is kept per (``doc_id``, ``actor``, ``seq``);
+    a hash that comes with several of these is let through once (its second copy is told by hash alone, unless the
+    change itself went through without its hash).
 
     There is no watermark: a copy may come at any time, so the keys are kept for good (RocksDB holds
     them outside the heap).
     """
     c = clean_changes(stream)
-    who = F.coalesce("hash", F.concat_ws("|", F.col("doc_id").cast("string"), "actor", F.col("seq").cast("string")))
-    return c.withColumn("_who", who).dropDuplicates(["_who"]).drop("_who")
+    written = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    whole = F.col("doc_id").isNotNull() & F.col("actor").isNotNull() & F.col("seq").isNotNull()
+    alone = F.concat(F.lit("alone "), F.coalesce(F.col("delivery_id").cast("string"), F.lit("")))
+    who = F.when(whole, F.to_json(F.struct("doc_id", "actor", "seq"))).otherwise(F.coalesce(F.concat(F.lit("hash "), "hash"), alone))
+    rows = c.select(
+        who.alias("who"), whole.alias("is_whole"), F.col("delivery_id").alias("arrived"), F.col("hash").alias("full_hash"),
+        F.to_json(F.struct(*[F.col(f"`{x}`") for x in c.columns]), written).alias("whole_row"),
+    )
+    kept = rows.groupBy("who").transformWithStateInPandas(_OneOfEach(), outputStructType="full_hash string, whole_row string", outputMode="append", timeMode="none")
+    once = kept.withColumn("_once", F.coalesce(F.concat(F.lit("h"), "full_hash"), F.concat(F.lit("r"), "whole_row"))).dropDuplicates(["_once"])
+    return once.select(F.from_json("whole_row", c.schema, written).alias("_c")).select("_c.*")
 
 
 _RELEASED = "doc_id bigint, hash string, actor string, seq bigint, held boolean"

@@ -64,3 +64,16 @@ def test_folding_a_stream_equals_the_batch(spark, tmp_path):
     want = feed.live_ops(feed.fold_ops(feed.op_facts(spark.createDataFrame(rows, OPS))))
     key = [F.col("ctr"), F.col("actor")]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+
+
+def test_copies_without_hashes_and_with_null_parts(spark, tmp_path):
+    rows = [
+        (1, 1, None, "a", 1, []), (2, 1, "H1 ", "a", 1, []), (3, 1, "h1", "a", 1, []), (4, 1, "h2", "a", 1, []), (5, 1, None, "a", 1, []),
+        (6, 1, "h3", "b", 2, []), (7, 1, None, "b", 2, []), (8, None, "h3", "b", None, []),
+        (9, 1, None, None, 5, []), (10, 1, None, "5", None, []), (11, 1, None, None, 5, []),
+    ]
+    schema = spark.createDataFrame([], CHANGES).schema
+    path = _files(spark, tmp_path / "in", _changes(rows), schema)
+    got = _run(deliveries.distinct_deliveries(deliveries.read_deliveries(spark, path, schema, 2)), tmp_path, "once")
+    assert sorted(r.delivery_id for r in got) == [1, 4, 6, 9, 10, 11]
+    assert {r.delivery_id: (r.hash, r.seq) for r in got}[4] == ("h2", 1)
