@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import doclog, exchange, logs
+from . import doclog, exchange, fixtures, logs
 
-QUERIES = {**logs.QUERIES, **doclog.QUERIES, **exchange.QUERIES}
-ORACLES = {**logs.ORACLES, **doclog.ORACLES, **exchange.ORACLES}
+QUERIES = {**logs.QUERIES, **doclog.QUERIES, **exchange.QUERIES, **fixtures.QUERIES}
+ORACLES = {**logs.ORACLES, **doclog.ORACLES, **exchange.ORACLES, **fixtures.ORACLES}
