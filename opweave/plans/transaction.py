@@ -7,13 +7,16 @@ from it that are appended to the log in one batch.
 
 from __future__ import annotations
 
+import copy
 from bisect import insort
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import zip_longest
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.leb128 import uleb
 from ..functions.textdiff import edits, graphemes
 from ..operators import graph, sequence, state
 from ..sources.chunks import Change, Id, Op, encode_change
@@ -94,7 +97,9 @@ class Snapshot:
         for r in state.log_ops(o.where("is_insert")).select("op", "elem").collect():
             s.references[(r.op.ctr, r.op.actor)] = (r.elem.ctr, r.elem.actor)
         for r in state.log_ops(o.where(F.col("op_action") == state.MARK)).collect():
-            s.marks[(r.op.ctr, r.op.actor)] = Op((r.op.ctr, r.op.actor), (r.obj.ctr, r.obj.actor), None, None, True, 7, mark=r.mark_name, expand=r.expand)
+            tag = r.val.tag if r.val is not None else None
+            value = None if tag is None else next((v for v in (r.val.i, r.val.u, r.val.d, r.val.s, r.val.b, r.val.flag) if v is not None), None)
+            s.marks[(r.op.ctr, r.op.actor)] = Op((r.op.ctr, r.op.actor), (r.obj.ctr, r.obj.actor), None, None, True, 7, tag, value, mark=r.mark_name, expand=r.expand)
         for r in state.log_ops(o.where(F.col("op_action").isin(*_NAMES))).collect():
             s.types[(r.op.ctr, r.op.actor)] = r.op_action
         return s
@@ -177,6 +182,67 @@ class Snapshot:
             return [self.value(self.registers[(obj, e)][-1]) for e in self.elements(obj)]
         return {k: self.get(obj, k) for k in self.keys(obj)}
 
+    def marks_of(self, obj: Id) -> list[tuple[str, Any, int, int]]:
+        """(name, value, start, end) of every marked stretch of a text's visible elements; of marks of one name the latest holds."""
+        active: dict[str, dict[Id, Any]] = {}
+        names: dict[Id, str] = {}
+        at, now = 0, {}
+        out: list[tuple[str, Any, int, int]] = []
+
+        def close(name: str) -> None:
+            value, start = now.pop(name)
+            out.append((name, value, start, at))
+
+        for e in self.order.get(obj, []):
+            m = self.marks.get(e)
+            if m is not None and m.mark is not None:
+                active.setdefault(m.mark, {})[e] = m.value
+                names[e] = m.mark
+            elif m is not None and (begin := (e[0] - 1, e[1])) in names:
+                active[names[begin]].pop(begin, None)
+            if m is not None or not self.registers.get((obj, e)):
+                continue
+            here = {n: ids[max(ids)] for n, ids in active.items() if ids and ids[max(ids)] is not None}
+            for n in [n for n, (v, _) in now.items() if n not in here or here[n] != v]:
+                close(n)
+            for n, v in here.items():
+                now.setdefault(n, (v, at))
+            at += 1
+        for n in list(now):
+            close(n)
+        return sorted(out, key=lambda r: (r[2], r[0], r[3]))
+
+    def units(self, obj: Id) -> list[tuple[str | None, Any, int]]:
+        """A text as graphemes (text, None, elements) and blocks (None, value of the block, 1)."""
+        out: list[tuple[str | None, Any, int]] = []
+        run = ""
+        for e in self.elements(obj):
+            top = self.registers[(obj, e)][-1]
+            if top.action != _TYPES["map"]:
+                run += top.value if top.tag == "str" else "￼"
+                continue
+            out += [(g, None, len(g)) for g in graphemes(run)]
+            out.append((None, self.hydrate(top.id), 1))
+            run = ""
+        return out + [(g, None, len(g)) for g in graphemes(run)]
+
+    def spans(self, obj: Id) -> list[dict[str, Any]]:
+        """A text as ``{"text", "marks"}`` for each stretch with the same marks and ``{"block"}`` for each block."""
+        marks = self.marks_of(obj)
+        out: list[dict[str, Any]] = []
+        for at, e in enumerate(self.elements(obj)):
+            top = self.registers[(obj, e)][-1]
+            if top.action == _TYPES["map"]:
+                out.append({"block": self.hydrate(top.id)})
+                continue
+            text = top.value if top.tag == "str" else "￼"
+            here = {name: value for name, value, start, end in marks if start <= at < end}
+            if out and out[-1].get("marks") == here:
+                out[-1]["text"] += text
+            else:
+                out.append({"text": text, "marks": here})
+        return out
+
     def cursor(self, obj: Id, index: int | str, move: str = "after") -> str:
         """A stable address of a place: ``ctr@actor`` of the element there, ``-`` before it if it moves before, ``s`` or ``e`` for start and end."""
         if index in ("start", "end"):
@@ -224,16 +290,36 @@ class Transaction:
         self.start = snapshot.max_op + 1
         self.deps = list(snapshot.heads)
         self.ops: list[Op] = []
+        self._before: list[tuple[tuple[Id, str | Id], list[Op] | None]] = []
 
     def pending_ops(self) -> int:
         return len(self.ops)
 
     def _add(self, obj: Id, key: str | None, elem: Id | None, insert: bool, action: int, value: Scalar | None = None, pred: list[Id] | None = None, **more) -> Id:
         op = Op((self.start + len(self.ops), self.actor), obj, key, elem, insert, action, value.tag if value else None, value.value if value else None, sorted(pred or []), **more)
+        place = (op.obj, op.key if op.key is not None else op.id if op.insert else op.elem)
+        slot = self.doc.registers.get(place)
+        self._before.append((place, None if slot is None else [copy.copy(o) for o in slot]))
         self.ops.append(op)
         self.doc.apply_op(op)
         return op.id
 
+    def rollback(self) -> int:
+        """Undoes all operations so far, on the snapshot too; how many there were."""
+        n = len(self.ops)
+        for op, (place, slot) in zip(reversed(self.ops), reversed(self._before)):
+            if slot is None:
+                self.doc.registers.pop(place, None)
+            else:
+                self.doc.registers[place] = slot
+            if op.insert:
+                self.doc.order[op.obj].remove(op.id)
+                self.doc.references.pop(op.id, None)
+            self.doc.marks.pop(op.id, None)
+            self.doc.types.pop(op.id, None)
+        self.ops, self._before = [], []
+        return n
+
     def _target(self, obj: Id, prop: str | int) -> tuple[str | None, Id | None, list[Op]]:
         reg = self.doc._register(obj, prop)
         slot = list(self.doc.registers.get((obj, reg), []))
@@ -353,6 +439,58 @@ class Transaction:
         for at, n, add in edits(old, graphemes(new)):
             self.splice_text(obj, len("".join(old[:at])), len("".join(old[at : at + n])), "".join(add))
 
+    def update_spans(self, obj: Id, new: Iterable[dict[str, Any]], expand: str = "after", expands: dict[str, str] | None = None) -> None:
+        """Makes a text equal to spans as :meth:`Snapshot.spans` has them (``marks`` may be left out).
+
+        Graphemes and blocks change by the shortest edit script, a block in place of a block is
+        updated; then marks that aren't wanted are taken off and missing ones set.  ``expands`` names how
+        marks of some names expand, ``expand`` how others do.
+        """
+        if self.doc.type_of(obj) != "text":
+            raise DocumentError("InvalidOp: spans of what isn't a text")
+        old = self.doc.units(obj)
+        want: list[tuple[str | None, Any, int]] = []
+        wanted: list[tuple[str, Any, int, int]] = []
+        at = 0
+        for span in new:
+            if "block" in span:
+                want.append((None, span["block"], 1))
+                at += 1
+                continue
+            want += [(g, None, len(g)) for g in graphemes(span["text"])]
+            end = at + len(span["text"])
+            wanted += [(name, value, at, end) for name, value in (span.get("marks") or {}).items() if value is not None and end > at]
+            at = end
+        for place, n, add in edits(old, want):
+            index = sum(w for _, _, w in old[:place])
+            for gone, fresh in zip_longest(old[place : place + n], add):
+                if gone and fresh and gone[0] is None and fresh[0] is None:
+                    self.update_object(self.doc.object(obj, index), fresh[1])
+                    index += 1
+                    continue
+                if gone and gone[0] is None:
+                    self.join_block(obj, index)
+                elif gone:
+                    self.splice_text(obj, index, gone[2])
+                if fresh and fresh[0] is None:
+                    self.update_object(self.split_block(obj, index), fresh[1])
+                    index += 1
+                elif fresh:
+                    self.splice_text(obj, index, 0, fresh[0])
+                    index += fresh[2]
+        joined: list[tuple[str, Any, int, int]] = []
+        for name, value, start, end in sorted(wanted, key=lambda r: (r[0], r[2])):
+            if joined and joined[-1][:2] == (name, value) and joined[-1][3] == start:
+                start = joined.pop()[2]
+            joined.append((name, value, start, end))
+        how = lambda name: (expands or {}).get(name, expand)
+        for name, _, start, end in [m for m in self.doc.marks_of(obj) if m not in joined]:
+            self.unmark(obj, start, end, name, how(name))
+        now = self.doc.marks_of(obj)
+        for name, value, start, end in joined:
+            if (name, value, start, end) not in now:
+                self.mark(obj, start, end, name, value, how(name))
+
     def update_object(self, obj: Id, new: Any) -> None:
         """Makes an object equal to a value of the same kind, changing only what differs."""
         kind = self.doc.type_of(obj)
@@ -394,9 +532,41 @@ class Transaction:
         self.doc.max_op = max(self.doc.max_op, c.max_op)
         self.doc.seqs[self.actor] = c.seq
         self.doc.heads = [c.hash]
+        self._before = []
         return c
 
 
+def transact(snapshot: Snapshot, actor: str, edit: Callable[[Transaction], Any], time_ms: int = 0, message: str | None = None) -> tuple[Change | None, Any]:
+    """The change of what ``edit`` does and what it returns; if it fails nothing has been done."""
+    t = Transaction(snapshot, actor)
+    try:
+        result = edit(t)
+    except BaseException:
+        t.rollback()
+        raise
+    return t.commit(time_ms, message), result
+
+
+#: A fixed value: what the ids of actors begin with that write beside their own later operations.
+_BESIDE = "13b22309"
+
+
+def isolated(changes: DataFrame, ops: DataFrame, doc_id: int, version: DataFrame, actor: str) -> Transaction:
+    """A transaction that sees and depends on a version only, as if nothing had been written since.
+
+    An actor with operations that the version doesn't cover writes under an id derived from its own (of the first level
+    that has none).  What is committed meets the rest of the history by merging, as other changes do.
+    """
+    c = changes.where(F.col("doc_id") == doc_id)
+    seen = {r.actor: r.max_op for r in graph.clock(c, version).collect()}
+    last = {r.actor: r.top for r in c.groupBy("actor").agg(F.max("max_op").alias("top")).collect()}
+    mine, level = actor, 0
+    while last.get(mine) and last[mine] > seen.get(mine, 0):
+        level += 1
+        mine = _BESIDE + uleb(level).hex() + actor
+    return Transaction(Snapshot.read(changes, ops, doc_id, version), mine)
+
+
 def import_json(value: dict, actor: str, strings_as_text: bool = False) -> Change:
     """A document of a JSON object as one change; strings become scalars, or texts if wanted."""
     if not isinstance(value, dict):
