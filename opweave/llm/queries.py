@@ -87,9 +87,16 @@ QUERIES = {
         p10_found, p10_scores, p10_rates,
     )
 }
+#: Pairs of document and item that share eight words in a row.
+_LEAKS = r"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, src_text FROM eval_items UNION ALL SELECT 'i', item_id, ref_text FROM eval_items),
+w AS (SELECT kind, id, regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{M}]+', '', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM t WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT kind, id, array_to_string(w[k:k + 7], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 6)) AS k FROM w WHERE len(w) >= 8)),
+l AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM s AS d JOIN s AS i ON i.s = d.s WHERE d.kind = 'd' AND i.kind = 'i')"""
 _CLEAN = r"nullif(lower(trim(hash, E' \t\r\n' || chr(160))), '')"
 ORACLES: dict[str, str] = {
     "p4_found": f"""WITH ch AS (SELECT delivery_id, {_CLEAN} AS hash FROM changes), a AS (SELECT DISTINCT {_CLEAN} AS hash FROM archive_hashes),
 m AS (SELECT hash, min(delivery_id) AS first_id FROM ch GROUP BY 1)
 SELECT delivery_id FROM ch JOIN m USING (hash) WHERE hash IN (SELECT hash FROM a WHERE hash IS NOT NULL) OR delivery_id > first_id""",
+    "p9_found": f"{_LEAKS} SELECT doc_id, item_id FROM l",
+    "p9_clean_documents": f"{_LEAKS} SELECT doc_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = documents.doc_id)",
 }
