@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,15 +25,19 @@ def text_items(ops: DataFrame, visible: DataFrame, order: DataFrame, encoding: s
     """Every visible member of every text element: ``doc_id``, ``obj``, ``elem``, ``pos``, ``op``, ``s``, ``block_id``, ``start``, ``width``.
 
     Members of one element that conflict are all there, in order of their ids.  What isn't a string
-    is an object mark; a map in a text is a block.  ``start`` counts the widths before.
+    is an object mark; a map in a text is a block.  ``start`` counts the widths before.  With pieces of a log in runs and
+    their order, a piece is one item, with ``run_n`` and ``run``, in code points and without ``s`` until :func:`.runs.fill`.
     """
+    extra = [c for c in ("run_n", "run") if c in order.columns]
+    if extra and encoding != "codepoints":
+        raise ValueError("items of runs count code points")
     s = F.when(F.col("val.tag") == "str", F.col("val.s")).otherwise(F.lit(OBJECT_MARK))
     rows = (
         visible.where(F.col("elem").isNotNull())
         .join(text_objects(ops), ["doc_id", "obj"], "left_semi")
         .join(order, ["doc_id", "obj", "elem"])
-        .select("doc_id", "obj", "elem", "pos", "op", s.alias("s"), F.when(F.col("op_action") == MAKE_MAP, id_text("op")).alias("block_id"))
-        .withColumn("width", text_width(F.col("s"), encoding).cast("bigint"))
+        .select("doc_id", "obj", "elem", "pos", "op", s.alias("s"), F.when(F.col("op_action") == MAKE_MAP, id_text("op")).alias("block_id"), *extra)
+        .withColumn("width", F.coalesce(text_width(F.col("s"), encoding), F.col("run_n") if extra else F.lit(None)).cast("bigint"))
     )
     w = Window.partitionBy("doc_id", "obj").orderBy("pos", "op").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("width").over(w), F.lit(0)))
@@ -79,10 +85,11 @@ def marks(items: DataFrame, intervals: DataFrame) -> DataFrame:
     ).select("doc_id", id_text("obj").alias("obj_id"), "name", "value", "start", "end")
 
 
-def spans(items: DataFrame, intervals: DataFrame) -> DataFrame:
+def spans(items: DataFrame, intervals: DataFrame, fill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``doc_id``, ``obj_id``, ``span_no`` (from 1), ``text``, ``marks`` (``name=value``, sorted), ``block_id``.
 
-    Runs of items with the same marks; a block is a span of its own, without text.
+    Runs of items with the same marks; a block is a span of its own, without text.  ``fill`` gives numbered items their
+    texts, if they have none yet.
     """
     m = item_marks(items, intervals).groupBy("doc_id", "obj", "pos", "op").agg(
         F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "name", "value"))), ",").alias("marks")
@@ -92,6 +99,7 @@ def spans(items: DataFrame, intervals: DataFrame) -> DataFrame:
     block = F.col("block_id").isNotNull() | F.lag("block_id").over(w).isNotNull()
     fresh = (F.coalesce(F.lag("marks").over(w) != F.col("marks"), F.lit(True)) | block).cast("int")
     numbered = rows.withColumn("_new", fresh).withColumn("span_no", F.sum("_new").over(w))
+    numbered = fill(numbered) if fill else numbered
     parts = F.array_sort(F.collect_list(F.struct("pos", "op", "s")))
     text = F.when(F.col("block_id").isNull(), F.array_join(F.transform(parts, lambda p: p["s"]), ""))
     return numbered.groupBy("doc_id", "obj", "span_no", "marks", "block_id").agg(text.alias("text")).select(

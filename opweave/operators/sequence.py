@@ -14,6 +14,8 @@ from .state import log_ops
 def element_order(ops: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """``doc_id``, ``obj``, ``elem``, ``pos``: every inserted element and its place (from 1), deleted ones and marks included.
 
+    Of pieces (:func:`opweave.operators.runs.pieces`) the first element and its place, with their ``run_n`` and ``run``.
+
     Elements form a tree (an insert hangs on the element it follows) that is read in pre-order,
     siblings by descending operation id.  The tour down and up the tree is one chain per object, and
     an element's place is the number of steps down to it: a weighted forest of single links, which
@@ -21,26 +23,34 @@ def element_order(ops: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     go is no deep recursion.  Elements that hang on an insert that was never delivered, or on a loop,
     have no place and are left out.
     """
-    ins = log_ops(ops.where("is_insert")).select("doc_id", "obj", "op", F.col("elem").alias("ref")).where(F.col("ref").isNotNull())
+    extra = [c for c in ("run_n", "run") if c in ops.columns]
+    # as in log_ops, without what isn't needed; what was delivered both in a run and alone is of the run
+    held = ops.where("is_insert").groupBy("doc_id", "op").agg(F.min(F.struct("obj", "op_key", "elem")).alias("_o"), *[F.max(c).alias(c) for c in extra])
+    ins = held.select("doc_id", "op", "_o.obj", F.col("_o.elem").alias("ref"), *extra).where(F.col("ref").isNotNull())
+    n = F.col("run_n") if extra else F.lit(1)
+    # nodes have the name of the last element of their row: it is what others follow
+    ins = ins.withColumn("end", F.struct((F.col("op.ctr") + n - 1).alias("ctr"), F.col("op.actor").alias("actor")))
     siblings = Window.partitionBy("doc_id", "obj", "ref").orderBy(F.col("op").desc())
-    placed = ins.withColumn("_before", F.lag("op").over(siblings))
-    last = ins.groupBy("doc_id", "obj", "ref").agg(F.min("op").alias("_last")).withColumnRenamed("ref", "op")
-    tour = placed.join(last, ["doc_id", "obj", "op"], "left")
+    placed = ins.withColumn("_before", F.lag("end").over(siblings))
+    last = ins.groupBy("doc_id", "obj", "ref").agg(F.min(F.struct("op", "end"))["end"].alias("_last")).withColumnRenamed("ref", "end")
+    tour = placed.join(last, ["doc_id", "obj", "end"], "left")
     head = F.col("ref.ctr") == 0
-    down = F.concat(F.lit("d"), id_text("op"))
-    into = F.when(F.col("_before").isNotNull(), F.concat(F.lit("u"), id_text("_before"))).when(~head, F.concat(F.lit("d"), id_text("ref")))
-    up = F.concat(F.lit("u"), id_text("op"))
+    down = F.concat(F.lit("d"), id_text("end"))
+    into = F.when(F.col("_before").isNotNull(), F.concat(F.lit("u"), id_text("_before"))).when(~head, F.concat(F.lit("d"), id_text("ref"))).otherwise(F.lit("h"))
+    up = F.concat(F.lit("u"), id_text("end"))
     out_of = F.when(F.col("_last").isNotNull(), F.concat(F.lit("u"), id_text("_last"))).otherwise(down)
     start = head & F.col("_before").isNull()
     group = F.concat_ws("/", F.col("doc_id").cast("string"), id_text("obj"))
     order = F.col("op.ctr")
-    step = lambda id, parent, w: F.struct(id.alias("id"), parent.alias("parent"), F.lit(w).cast("bigint").alias("w"))
-    nodes = tour.select(group.alias("g"), order.alias("ord"), F.inline(F.array(step(down, into, 1), step(up, out_of, 0))).alias("id", "parent", "w"))
-    ranked = forest(nodes, nodes.select("g", "ord"), max_nodes=max_nodes, weight="w")
-    firsts = tour.where(start).select(group.alias("g"), down.alias("root"))
-    reached = ranked.where(~F.col("endless") & F.col("id").startswith("d")).join(firsts, ["g", "root"], "left_semi")
+    step = lambda id, parent, w: F.struct(id.alias("id"), parent.alias("parent"), w.cast("bigint").alias("w"))
+    # every tour that is whole begins at the node h of its object
+    ways = F.array(step(down, into, n), step(up, out_of, F.lit(0)))
+    ways = F.when(start, F.concat(ways, F.array(step(F.lit("h"), F.lit(None).cast("string"), F.lit(0))))).otherwise(ways)
+    nodes = tour.select(group.alias("g"), order.alias("ord"), F.inline(ways).alias("id", "parent", "w"))
+    ranked = forest(nodes, ins.select(group.alias("g"), F.explode(F.array(order, order)).alias("ord")), max_nodes=max_nodes, weight="w")
+    reached = ranked.where((F.col("root") == "h") & F.col("id").startswith("d"))
     at = reached.select(F.col("g").alias("_g"), F.col("id").alias("_id"), F.col("depth").alias("pos"))
-    return tour.join(at, (group == at["_g"]) & (down == at["_id"])).select("doc_id", "obj", F.col("op").alias("elem"), "pos")
+    return ins.join(at, (group == at["_g"]) & (down == at["_id"])).select("doc_id", "obj", F.col("op").alias("elem"), (F.col("pos") - n + 1).alias("pos"), *extra)
 
 
 def text_width(s: Column, encoding: str = "codepoints") -> Column:
