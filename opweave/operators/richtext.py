@@ -58,9 +58,8 @@ def mark_intervals(ops: DataFrame, order: DataFrame, clock: DataFrame | None = N
     mark without an end reaches to the end of the text.
     """
     o = log_ops(ops.where(F.col("op_action") == MARK) if clock is None else covered_ops(ops.where(F.col("op_action") == MARK), clock))
-    at = o.join(order, (o["doc_id"] == order["doc_id"]) & (o["obj"] == order["obj"]) & (o["op"] == order["elem"])).select(
-        o["doc_id"], o["obj"], o["op"], o["mark_name"], o["val"], order["pos"]
-    )
+    places = order.select("doc_id", "obj", F.col("elem").alias("op"), "pos")
+    at = o.join(places, ["doc_id", "obj", "op"]).select("doc_id", "obj", "op", "mark_name", "val", "pos")
     begin = at.where(F.col("mark_name").isNotNull()).select("doc_id", "obj", "op", F.col("mark_name").alias("name"), value_text(F.col("val")).alias("value"), F.col("pos").alias("from_pos"))
     end = at.where(F.col("mark_name").isNull()).select("doc_id", "obj", F.struct((F.col("op.ctr") - 1).alias("ctr"), F.col("op.actor").alias("actor")).alias("op"), F.col("pos").alias("to_pos"))
     return begin.join(end, ["doc_id", "obj", "op"], "left").withColumn("to_pos", F.coalesce("to_pos", F.lit((1 << 62)).cast("bigint")))
