@@ -62,14 +62,19 @@ def pieces(log: DataFrame) -> DataFrame:
         F.when(elem.isNull(), none).when(F.col("is_insert"), F.array(at(elem["actor"], elem["ctr"] + 1))).otherwise(around(elem)),
         F.flatten(F.transform(F.filter(F.coalesce("pred", ids), lambda p: p.isNotNull()), around)),
     )
-    cuts = (
-        log.select("doc_id", F.inline(named).alias("actor", "ctr"))
-        .groupBy("doc_id", "actor", _stretch(F.col("ctr")).alias("stretch")).agg(F.collect_set("ctr").alias("cuts"))
+    # a stretch gathers its cuts and the parts of runs in it, so the log is read and shuffled once for both
+    part = F.struct(*[(F.col("val").withField("s", F.lit(None).cast("string")) if c == "val" else F.col(c)).alias(c) for c in cols if c != "doc_id"])
+    no_part = F.lit(None).cast(log.select(part.alias("r")).schema["r"].dataType)
+    of_cuts = F.transform(named, lambda c: F.struct(c["actor"].alias("actor"), _stretch(c["ctr"]).alias("stretch"), c["ctr"].alias("cut"), no_part.alias("part")))
+    touched = F.when(n > 1, F.sequence(_stretch(ctr), _stretch(ctr + n - 1))).otherwise(F.array().cast("array<bigint>"))
+    of_runs = F.transform(touched, lambda s: F.struct(actor.alias("actor"), s.alias("stretch"), F.lit(None).cast("bigint").alias("cut"), part.alias("part")))
+    gathered = (
+        log.select("doc_id", F.inline(F.concat(of_cuts, of_runs)).alias("actor", "stretch", "cut", "part"))
+        .groupBy("doc_id", "actor", "stretch").agg(F.collect_set("cut").alias("cuts"), F.collect_set("part").alias("parts"))
     )
-    long = _stretches(log.where(n > 1).withColumn("val", F.col("val").withField("s", F.lit(None).cast("string")))).withColumn("actor", actor)
     low, high = _bounds()
-    parts = long.join(cuts, ["doc_id", "actor", "stretch"], "left").withColumns({"_low": low, "_high": high})
-    inner = F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: (c > F.col("_low")) & (c < F.col("_high")))
+    parts = gathered.select("doc_id", "actor", "stretch", "cuts", F.inline("parts")).withColumns({"_low": low, "_high": high})
+    inner = F.filter("cuts", lambda c: (c > F.col("_low")) & (c < F.col("_high")))
     starts = F.array_sort(F.concat(F.array("_low"), inner))
     steps = F.transform("_starts", lambda s, i: F.struct(s.alias("_ctr"), (F.coalesce(F.get(F.col("_starts"), i + 1), F.col("_high")) - s).alias("_n")))
     cut = parts.withColumn("_starts", starts).select("*", F.inline(steps).alias("_ctr", "_n"))
