@@ -18,7 +18,7 @@ OBJECT_MARK = "￼"
 
 def text_objects(ops: DataFrame) -> DataFrame:
     """``doc_id``, ``obj`` of every text ever made."""
-    return log_ops(ops).where(F.col("op_action") == MAKE_TEXT).select("doc_id", F.col("op").alias("obj"))
+    return ops.where(F.col("op_action") == MAKE_TEXT).select("doc_id", F.col("op").alias("obj")).distinct()
 
 
 def text_items(ops: DataFrame, visible: DataFrame, order: DataFrame, encoding: str = "codepoints") -> DataFrame:
